@@ -14,16 +14,19 @@ class ChartParams:
     weight_level and weight_scale are the weights of a new reading in the level and in the scale.
     A reading further than ``limit`` scales from the level is suspected and enters the level only as
     if it stood ``clip`` scales away. After ``rebase`` suspected readings in a row on one side the level
-    is taken to have changed. A spike is at most ``longest`` readings long. ``frozen`` readings at
+    is taken to have changed. A spike is at most ``longest`` readings long; see spike_flags for ``lower`` and
+    ``beside``. ``frozen`` readings at
     different times with one value are a stuck sensor.
     """
 
     weight_level: float = 0.3
     weight_scale: float = 0.1
     limit: float = 6.5
+    lower: float = 4.0
     clip: float = 2.0
     rebase: int = 4
     longest: int = 3
+    beside: int = 3
     frozen: int = 8
     warm_up: int = 7
 
@@ -62,21 +65,36 @@ def deviations(x: np.ndarray, scale: float, least: float, p: ChartParams) -> np.
     return out
 
 
+def runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
+    """First and one-past-last position of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
 def spike_flags(x: np.ndarray, least: float, p: ChartParams) -> np.ndarray:
     """True for readings that stand far from the level before and the level after, at most ``longest`` in a row.
 
-    The chart runs in both directions of time: a lasting change of level is far from one side only.
+    The chart runs in both directions of time: a lasting change of level is far from one side only. A run
+    begins with a reading beyond ``limit`` and takes in neighbours on the same side beyond ``lower``; if it
+    grows too long by that, only the readings beyond ``limit`` count. At least ``beside`` readings must stand
+    before and after it, else there is no level to compare with.
     """
     scale = series_scale(x, least)
     ahead = deviations(x, scale, least, p)
     back = deviations(x[::-1], scale, least, p)[::-1]
-    side = np.where((ahead > p.limit) & (back > p.limit), 1, np.where((ahead < -p.limit) & (back < -p.limit), -1, 0))
-    flags = side != 0
-    if flags.any():
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-        for a, b in zip(edges[::2], edges[1::2]):
-            if b - a > p.longest:
-                flags[a:b] = False
+    far = np.where(np.sign(ahead) == np.sign(back), np.minimum(np.abs(ahead), np.abs(back)), 0.0)
+    flags = np.zeros(len(x), bool)
+    high = far > p.limit
+    if not high.any():
+        return flags
+    side = np.sign(ahead)
+    for a, b in runs_of(far > p.lower):
+        cuts = [a, *(i for i in range(a + 1, b) if side[i] != side[i - 1]), b]
+        for lo, hi in zip(cuts, cuts[1:]):
+            spans = [(lo, hi)] if hi - lo <= p.longest else [(lo + s, lo + e) for s, e in runs_of(high[lo:hi])]
+            for s, e in spans:
+                if high[s:e].any() and e - s <= p.longest and s >= p.beside and len(x) - e >= p.beside:
+                    flags[s:e] = True
     return flags
 
 
