@@ -1,0 +1 @@
+"""The session fixture comes from the folder above."""
