@@ -60,7 +60,7 @@ def plotted_sample(n: int) -> int:
     """ceil(n ^ (ln 100 / ln 50000)) points are drawn of n."""
     import math
 
-    return math.ceil(n ** (math.log(100) / math.log(50_000)))
+    return math.ceil(n ** (math.log(100) / math.log(50_000)) - 1e-9)
 
 
 def best_and_worst(runs: DataFrame, k: int) -> DataFrame:

@@ -97,7 +97,7 @@ def csv_folder(spark: SparkSession, folder: str, time: str, share: float = 1.0,
 
 def run_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """Last line of each log file: path, line."""
-    whole = spark.read.option("wholetext", True).text(pattern).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\s+$", "").alias("value"))
+    whole = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\s+$", "").alias("value"))
     return whole.select("path", F.element_at(F.split("value", "\n"), -1).alias("line"))
 
 
