@@ -69,3 +69,14 @@ def split(df: DataFrame, key: str, seed: int = 0, share: float = 0.9) -> DataFra
     training. No sort of the whole cohort; the shares hold up to chance."""
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return df.withColumn("split", F.when(u < share, "training").otherwise("validation"))
+
+
+def in_split(df: DataFrame, which: str) -> DataFrame:
+    """Rows of a split: 'training', 'validation', 'all' (training first, by split_pos) or a named filter."""
+    if which == "all":
+        return df.withColumn("split_pos", F.when(F.col("split") == "training", 0).otherwise(1))
+    return df.filter(FILTERS[which]) if which in FILTERS else df.filter(F.col("split") == which)
+
+
+def sample_with_replacement(df: DataFrame, share: float, seed: int) -> DataFrame:
+    return df.sample(withReplacement=True, fraction=share, seed=seed)

@@ -71,3 +71,14 @@ def align(frames: list[DataFrame], columns: list[str]) -> DataFrame:
         have = set(f.columns)
         out.append(f.select("enc", "t", *[F.col(f"`{c}`") if c in have else F.lit(None).cast("double").alias(c) for c in columns]))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def resolved_label(df: DataFrame, fused: str = "fused_label", meta: str = "meta", dictionary: str = "label") -> DataFrame:
+    """Label of a column: the fused one, else meta_ and its name, else the dictionary's; key is label_item."""
+    name = F.coalesce(F.col(fused), F.concat(F.lit("meta_"), F.col(meta)), F.col(dictionary))
+    return df.withColumn("resolved", name).withColumn("key", F.concat_ws("_", "resolved", F.col("item").cast("string")))
+
+
+def overlap(lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
+    """Number of integers that two closed ranges share."""
+    return F.greatest(F.lit(0), F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b) + 1)

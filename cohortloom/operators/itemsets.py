@@ -69,3 +69,24 @@ def listing(enriched: DataFrame, label: str, default: int = 7, most: int = 20) -
     p = enriched.withColumn("place", F.row_number().over(w))
     last = F.max(F.when(F.col("significant"), F.col("place"))).over(Window.partitionBy(label))
     return p.withColumn("_k", F.least(F.greatest(F.coalesce(last, F.lit(0)), F.lit(default)), F.lit(most))).filter("place <= _k").drop("_k")
+
+
+def p_values(enriched: DataFrame) -> DataFrame:
+    """All p-values of an analysis in one column."""
+    return enriched.select("p_value").na.drop()
+
+
+def permutation_null(tx: DataFrame, sets: DataFrame, label: str, times: int, seed: int) -> DataFrame:
+    """P-values of the same analysis under shuffled cluster labels: rep_id, p_value. The number of repetitions
+    is a parameter, each a part of the result."""
+    from pyspark.sql.window import Window
+
+    out = None
+    for rep in range(times):
+        keyed = tx.withColumn("_i", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("enc"), F.lit(64))).orderBy("enc"))).withColumn("_b", F.pmod(F.xxhash64("enc"), F.lit(64)))
+        moved = tx.select("enc", F.col(label)).withColumn("_b", F.pmod(F.xxhash64("enc"), F.lit(64)))
+        moved = moved.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("enc", F.lit(seed + rep)), "enc"))).select("_b", "_i", F.col(label).alias("_label"))
+        mixed = keyed.join(moved, ["_b", "_i"]).select("enc", "items", F.col("_label").alias(label))
+        part = p_values(enrichment(mixed, sets, label)).withColumn("rep_id", F.lit(rep))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -222,7 +222,7 @@ def fit(chartevents: DataFrame, grid_items: DataFrame) -> tuple[DataFrame, dict[
     items = [r[0] for r in grid_items.select("itemid").na.drop().distinct().limit(1001).collect()]
     if len(items) > 1000:
         raise ValueError("more than 1000 grid items: fit them in several calls")
-    path = shared_folder(spark)
+    path = f"{shared_folder(spark)}/segments"
     segments(slots(chartevents, grid_items)).write.parquet(path)
     rows = spark.read.parquet(path)
     return rows, column_factors(rows, items)

@@ -67,3 +67,37 @@ def best_and_worst(runs: DataFrame, k: int) -> DataFrame:
     """The k runs with the lowest and the k with the highest objective."""
     best = runs.orderBy("objective", "run").limit(k).withColumn("side", F.lit("best"))
     return best.unionByName(runs.orderBy(F.desc("objective"), "run").limit(k).withColumn("side", F.lit("worst")))
+
+
+def running_best(epochs: DataFrame) -> DataFrame:
+    """Best value of the objective up to each epoch of a run, and whether the epoch set it."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("run").orderBy("epoch")
+    before = F.min("objective").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return epochs.withColumn("best", F.min("objective").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_best", before.isNull() | (F.col("objective") < before))
+
+
+def pages(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Rows in pages of a size: adds page, from 0, along the order inside 64 ranges counted by tasks."""
+    from cohortloom.operators.stats import running_total
+
+    n = running_total(df.withColumn("_n", F.lit(1)), order, "_n")
+    return n.withColumn("page", F.floor(F.col("below") / size)).drop("below", "_n")
+
+
+def one_hot_args(args: DataFrame, names: list[str], values: dict[str, list[str]]) -> DataFrame:
+    """Text arguments of a wide run table as 0/1 columns, one for each listed value."""
+    cols = [F.when(F.col(a) == v, 1.0).otherwise(0.0).alias(f"{a}={v}") for a in names for v in values[a]]
+    return args.select("run", *[c for c in args.columns if c not in {"run", *names}], *cols)
+
+
+def surrogate(runs: DataFrame, columns: list[str], candidates: DataFrame, seed: int = 1) -> DataFrame:
+    """Predicted objective of candidate settings by boosted trees fitted on finished runs (the surrogate net of
+    the original is out of scope; trees take its place)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    va = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip")
+    m = GBTRegressor(featuresCol="_v", labelCol="objective", maxIter=20, seed=seed).fit(va.transform(runs))
+    return m.transform(va.transform(candidates)).drop("_v").withColumnRenamed("prediction", "predicted")

@@ -127,3 +127,10 @@ def run_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     all_pairs = pairs.select(*by).distinct()
     scores = rand_index(t, by).join(jaccard(t, by), by).join(mutual_information(t, by), by)
     return all_pairs.join(scores, by, "left").withColumn("sim_score", (F.col("ami") + F.col("ari") + F.col("jaccard")) / 3)
+
+
+def robustness_by_option(scores: DataFrame, quality: DataFrame) -> DataFrame:
+    """Robustness measurements by algorithm and option value with the effective cluster count. A clustering id
+    is algorithm and option joined by an underscore."""
+    parts = F.split("clustering_id", "_")
+    return scores.join(quality.select("clustering_id", "k_effective"), "clustering_id").select(parts[0].alias("algorithm"), parts[1].cast("int").alias("option"), "metric", "threshold", "actual", "k_effective")

@@ -119,3 +119,11 @@ def code_tree(spark: SparkSession, path: str) -> DataFrame:
 
     nodes = spark.read.option("header", True).option("comment", "#").csv(path).select("code", F.split("path", r"\|").alias("path"))
     return closure(nodes)
+
+
+def chronic_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Chronic condition table: CSV whose first line is a title and second the header; code and chronic, true
+    only for '1'."""
+    raw = spark.read.csv(path, quote="'").toDF("code", "name", "chronic", *[f"c{i}" for i in range(len(spark.read.csv(path, quote="'").columns) - 3)])
+    rows = raw.select(F.trim("code").alias("code"), (F.trim("chronic") == "1").alias("chronic"))
+    return rows.filter(F.col("code").rlike("^[0-9VE]"))

@@ -54,3 +54,13 @@ def upsert_parquet(new: DataFrame, path: str, key: str) -> None:
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(fs_path(path), True)
     fs.rename(fs_path(f"{path}.next"), fs_path(path))
+
+
+def support_statistics(support: DataFrame, path: str) -> None:
+    """Support of each signal, largest first, as one JSON file."""
+    support.orderBy(F.desc("support"), "item").coalesce(1).write.mode("overwrite").json(path)
+
+
+def projection_json(points: DataFrame, path: str) -> None:
+    """Projected points (id, features, label) as JSON rows with coordinates x, y, z."""
+    points.select("id", "label", *[F.col("features")[i].alias(c) for i, c in enumerate("xyz")]).write.mode("overwrite").json(path)

@@ -50,10 +50,16 @@ def reading(valuenum: Column | str = "valuenum", value: Column | str = "value")
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for tables that cut the lineage, inside the folder that spark.checkpoint.dir names.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used instead.
+    Only where that setting is absent (tests on one machine) a temporary folder is used instead. The folder
+    goes when the session's JVM ends; tables that are to stay belong into a folder that the caller names.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="cohortloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/cohortloom-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/cohortloom-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
