@@ -119,6 +119,16 @@ class PairTable:
         self.version, self.files, self.items_path = 0, {}, ""
         self.touched: DataFrame | None = None
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _buckets_in(self, folder: str) -> list[int]:
+        """Buckets that a partitioned table has, from the names of its folders."""
+        fs, path = self._path(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+
     def _bucket(self):
         return F.pmod(F.xxhash64("code_a", "code_b"), F.lit(self.buckets)).cast("int")
 
@@ -143,17 +153,20 @@ class PairTable:
         moved = self.spark.read.schema("item string, n bigint").parquet(f"{root}/item_deltas")
         self.items().unionByName(moved).groupBy("item").agg(F.sum("n").alias("n")).filter("n <> 0").write.parquet(f"{root}/items")
         deltas = self.spark.read.schema(_PAIRS + ", bucket int").parquet(f"{root}/deltas")
-        hit = [r[0] for r in deltas.select("bucket").distinct().collect()]  # at most self.buckets values
+        hit = self._buckets_in(f"{root}/deltas")
         merged = self.pairs(hit).unionByName(deltas.select("code_a", "code_b", "n")).groupBy("code_a", "code_b").agg(F.sum("n").alias("n")).filter("n <> 0")
         merged.withColumn("bucket", self._bucket()).repartition(min(self.buckets, max(1, len(hit))), "bucket").write.partitionBy("bucket").parquet(f"{root}/pairs")
-        left = {r[0] for r in self.spark.read.schema(_PAIRS + ", bucket int").parquet(f"{root}/pairs").select("bucket").distinct().collect()}
+        left = self._buckets_in(f"{root}/pairs")
         for b in hit:
             self.files.pop(b, None)
             if b in left:
                 self.files[b] = f"{root}/pairs/bucket={b}"
         self.version, self.items_path, self.touched = v, f"{root}/items", moved
         manifest = json.dumps({"version": v, "files": {str(k): p for k, p in self.files.items()}, "items": self.items_path})
-        self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{root}/manifest")
+        fs, path = self._path(f"{self.folder}/manifest-{v}.json")
+        out = fs.create(path, True)
+        out.write(bytearray(manifest, "utf-8"))
+        out.close()
 
     def scores(self, least: int = 1, affected_only: bool = False) -> DataFrame:
         """Association of each pair with at least ``least`` common baskets: code_a, code_b, n_ab, n_a, n_b,
