@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortloom.operators import similarity as A
+from cohortloom.operators.stats import running_total
 
 MAX_POINTS = 5_000
 
@@ -159,6 +160,27 @@ def sweep(features: DataFrame, algorithm: str, ks: list[int] | None = None, **op
     return spark.createDataFrame([(k,) for k in ks], "k int").repartition(parts).mapInPandas(run, _LABELS)
 
 
+def sweep_boots(features: DataFrame, members: DataFrame, algorithm: str, ks: list[int]) -> DataFrame:
+    """The sweep on every bootstrap: boot_id, clustering_id, k, id, label. members holds boot_id and id; with at
+    most MAX_POINTS points its lists are small. Each bootstrap and k is a task."""
+    ids, x = matrix(features)
+    at = {i: n for n, i in enumerate(ids.tolist())}
+    boots = {r[0]: sorted(at[i] for i in r[1]) for r in members.groupBy("boot_id").agg(F.collect_list("id")).collect()}
+    spark = features.sparkSession
+    shared = spark.sparkContext.broadcast((ids, x, boots))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, boots = shared.value
+        for f in frames:
+            for b, k in zip(f["boot_id"].tolist(), f["k"].tolist()):
+                rows = np.array(boots[b])
+                label = cut(centroid_linkage(x[rows]), len(rows), k) if algorithm == "hierarchical" else kmedoids_labels(distances(x[rows]), k)
+                yield pd.DataFrame({"boot_id": b, "clustering_id": f"{algorithm}_{k}", "k": k, "id": ids[rows], "label": label})
+
+    tasks = [(b, k) for b in sorted(boots) for k in ks]
+    return spark.createDataFrame(tasks, "boot_id int, k int").repartition(max(1, len(tasks))).mapInPandas(run, "boot_id int, " + _LABELS)
+
+
 def kmeans(features: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
     """k-means labels for each k, for any number of points."""
     v = features.select("id", array_to_vector("features").alias("v"))
@@ -226,11 +248,12 @@ def silhouette(features: DataFrame, labels: DataFrame, label: str = "label", blo
 
 
 def permuted(labels: DataFrame, times: int, seed: int) -> DataFrame:
-    """Shuffled copies of labelings: clustering_id, rep_id, id, label. Labels move along a hash order."""
-    reps = labels.withColumn("rep_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    """Shuffled copies of labelings: clustering_id, rep_id, id, label. The point at a place of one hash order
+    takes the label at the same place of another; places are running counts that are spread over tasks."""
     keys = ["clustering_id", "rep_id"]
-    a = reps.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).select(*keys, "n", "id")
-    b = reps.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id", "rep_id", F.lit(seed)), "id"))).select(*keys, "n", "label")
+    reps = labels.withColumn("rep_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_one", F.lit(1))
+    a = running_total(reps.withColumn("_h", F.xxhash64("id")), "_h", {"_one": "n"}, keys, ["id"]).select(*keys, "n", "id")
+    b = running_total(reps.withColumn("_h", F.xxhash64("id", "rep_id", F.lit(seed))), "_h", {"_one": "n"}, keys, ["id"]).select(*keys, "n", "label")
     return a.join(b, [*keys, "n"]).drop("n")
 
 

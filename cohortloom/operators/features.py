@@ -90,10 +90,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def padded(series: DataFrame, length: int, fill: float) -> DataFrame:
-    """Series as arrays of one length: cut, or filled with the mask value."""
-    xs = series.groupBy("enc", "item").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("xs"))
-    cutx = F.slice("xs", 1, length)
-    return xs.select("enc", "item", F.size("xs").alias("n"), F.concat(cutx, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(length) - F.size("xs")))).alias("xs"))
+    """Series as arrays of one length: cut, or filled with the mask value. Only the first ``length`` values of
+    a series are collected."""
+    w = Window.partitionBy("enc", "item").orderBy("t", "value")
+    placed = series.withColumn("_i", F.row_number().over(w))
+    kept = F.sort_array(F.collect_list(F.when(F.col("_i") <= length, F.struct("_i", "value"))))
+    xs = placed.groupBy("enc", "item").agg(F.count("*").cast("int").alias("n"), F.transform(kept, lambda x: x["value"]).alias("xs"))
+    return xs.select("enc", "item", "n", F.concat("xs", F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(length) - F.col("n")))).alias("xs"))
 
 
 def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ...] = (6, 10), gains: tuple[float, ...] = (2**-4, 2**-6, 2**-8), least: int = 50) -> DataFrame:

@@ -49,19 +49,23 @@ def fuse(chart: DataFrame, rules: DataFrame) -> DataFrame:
     """Fused series: enc, name, t, value. Items without a rule are not part of the output. A chart of one
     encounter is bounded by its number of times; decisions are made on aggregated rows."""
     cells = with_row_index(chart).filter("value is not null").join(F.broadcast(rules.select("item", "name", "pos")), "item")
-    cols = cells.groupBy("enc", "name", "item", "pos").agg(
+    # Patterns and contents are compared by two 64-bit digests each, so no series is collected.
+    place = F.row_number().over(Window.partitionBy("enc", "name", "item").orderBy("r"))
+    digest = lambda *c: F.struct(*[F.bit_xor(F.xxhash64(F.lit(k), *c)).alias(f"h{k}") for k in (1, 2)])
+    cols = cells.withColumn("place", place).groupBy("enc", "name", "item", "pos").agg(
         F.count("*").alias("n"),
         F.min("r").alias("lo"),
         F.max("r").alias("hi"),
         F.avg("r").alias("mean_r"),
-        F.sort_array(F.collect_list(F.struct("r", "value"))).alias("xs"),
+        digest("r").alias("pattern"),
+        digest("place", "value").alias("content"),
     )
     groups = cols.groupBy("enc", "name").agg(
         F.count("*").alias("k"),
         F.max("n").alias("most"),
         F.greatest(F.lit(0), F.min("hi") - F.max("lo") + 1).alias("overlap"),
-        F.countDistinct(F.col("xs.r")).alias("patterns"),
-        F.countDistinct(F.col("xs.value")).alias("contents"),
+        F.countDistinct("n", "pattern").alias("patterns"),
+        F.countDistinct("n", "content").alias("contents"),
         F.min(F.struct("mean_r", "pos")).alias("early"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("pos"))).alias("large"),
     )

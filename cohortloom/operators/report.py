@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortloom.operators.stats import t_half_width
+from cohortloom.operators.stats import running_total, t_half_width
 
 
 def quartiles(col: str) -> Column:
@@ -168,15 +168,15 @@ def survival_bins(df: DataFrame, value: str, alive: str, bins: int, upper_percen
 
 def kaplan_meier(df: DataFrame, label: str, time: str, died: str) -> DataFrame:
     """Product-limit survival curve per cluster: label, t, at_risk, deaths, survival. Rows are first counted per
-    time, so the window runs over distinct times."""
+    time; running sums over the times are spread over tasks."""
     n = df.filter(F.col(time).isNotNull()).groupBy(label, F.col(time).alias("t")).agg(F.count("*").alias("n"), F.sum(F.col(died).cast("int")).alias("deaths"))
-    w = Window.partitionBy(label).orderBy(F.desc("t"))
-    risk = n.withColumn("at_risk", F.sum("n").over(w))
-    up = Window.partitionBy(label).orderBy("t")
+    size = n.groupBy(label).agg(F.sum("n").alias("size"))
+    risk = running_total(n, "t", {"n": "below"}, [label]).join(size, label).withColumn("at_risk", F.col("size") - F.col("below")).drop("below", "size")
     q = 1 - F.col("deaths") / F.col("at_risk")
-    gone = F.max(F.when(q <= 0, 1).otherwise(0)).over(up)
-    logs = F.sum(F.when(q > 0, F.ln(q)).otherwise(0.0)).over(up)
-    return risk.withColumn("survival", F.when(gone == 1, F.lit(0.0)).otherwise(F.exp(logs))).select(label, "t", "at_risk", "deaths", "survival")
+    terms = risk.withColumn("log_q", F.when(q > 0, F.ln(q)).otherwise(0.0)).withColumn("gone", F.when(q <= 0, 1).otherwise(0))
+    sums = running_total(terms, "t", {"log_q": "logs", "gone": "ended"}, [label])
+    survival = F.when(F.col("ended") + F.col("gone") > 0, F.lit(0.0)).otherwise(F.exp(F.col("logs") + F.col("log_q")))
+    return sums.select(label, "t", "at_risk", "deaths", survival.alias("survival"))
 
 
 def heat_map(df: DataFrame, x: str, y: str, value: str, max_labels: int = 6, bins: int = 4) -> DataFrame:

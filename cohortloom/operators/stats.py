@@ -16,7 +16,7 @@ def rank_sum(df: DataFrame, label: str, value: str) -> DataFrame:
     seen = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
     cells = seen.groupBy(label, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     per_value = cells.groupBy("v").agg(F.sum("n").alias("t"))
-    ranked = running_total(per_value, "v", "t").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
+    ranked = running_total(per_value, "v", {"t": "below"}).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
     w = cells.join(ranked, "v").groupBy(label).agg(F.sum(F.col("n") * F.col("rank")).alias("w"), F.sum("n").alias("n_in"))
     total = seen.agg(F.count("*").alias("n_all"))
     out = w.crossJoin(F.broadcast(total)).withColumn("n_out", F.col("n_all") - F.col("n_in"))  # one row
@@ -24,16 +24,25 @@ def rank_sum(df: DataFrame, label: str, value: str) -> DataFrame:
     return out.select(label, "n_in", "n_out", F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), z).alias("z"))
 
 
-def running_total(df: DataFrame, order: str, n: str, pieces: int = 64) -> DataFrame:
-    """Adds below, the sum of ``n`` over smaller values of ``order`` (unique). The order is cut into ranges at
-    approximate quantiles, each range is summed by its own task, and only the ranges' totals (at most
-    ``pieces``) are added up on one."""
-    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), [i / pieces for i in range(1, pieces)], 1000).alias("q"))
-    keyed = df.crossJoin(F.broadcast(cuts)).withColumn("_p", F.size(F.filter(F.coalesce("q", F.array().cast("array<double>")), lambda x: x < F.col(order).cast("double")))).drop("q")
-    sums = keyed.groupBy("_p").agg(F.sum(n).alias("_s"))
-    start = sums.withColumn("_start", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_start")
-    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("_in", F.coalesce(F.sum(n).over(w), F.lit(0))).join(F.broadcast(start), "_p").withColumn("below", F.col("_in") + F.col("_start")).drop("_p", "_in", "_start")
+def running_total(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, ties: list[str] | None = None, pieces: int = 64) -> DataFrame:
+    """Adds sums over the rows that come before, by ``order`` (a number) and ``ties``, per ``by``. ``sums`` names
+    the new column of each summed column.
+
+    The order is cut into ranges at approximate quantiles; each range of each group is summed by its own task,
+    and only the ranges' totals, at most ``pieces`` for a group, are added up in one place. So a group that
+    holds most rows is spread, and the result is exact wherever the cuts lie.
+    """
+    by, x = by or [], F.col(order).cast("double")
+    cuts = df.select(F.percentile_approx(x, [i / pieces for i in range(1, pieces)], 1000).alias("_q"))
+    piece = F.size(F.filter(F.coalesce("_q", F.array().cast("array<double>")), lambda c: c < x))
+    keyed = df.crossJoin(F.broadcast(cuts)).withColumn("_p", piece).drop("_q")  # one row
+    totals = keyed.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_s_{o}") for c, o in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select(*by, "_p", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums.values()])
+    inside = Window.partitionBy(*by, "_p").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
+    joined = keyed.withColumns({f"_i_{o}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, o in sums.items()}).join(start, [*by, "_p"])
+    out = joined.withColumns({o: F.col(f"_i_{o}") + F.col(f"_s_{o}") for o in sums.values()})
+    return out.drop("_p", *[f"{k}{o}" for o in sums.values() for k in ("_i_", "_s_")])
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:

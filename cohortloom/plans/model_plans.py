@@ -178,13 +178,8 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_robustness(spark: SparkSession, d: str) -> DataFrame:
     """k-medoids with 5 and 10 clusters against ten bootstraps of 70 percent."""
     v = vectors(spark, d).select("id", "features")
-    full = K.sweep(v, "kmedoids", [5, 10])
-    members = bootstraps(v, "id", 10, 0.7, 1).join(v, "id").persist()
-    boots = None
-    for b in range(10):  # a bounded number of runs, each a small job
-        part = K.sweep(members.filter(F.col("boot_id") == b), "kmedoids", [5, 10]).withColumn("boot_id", F.lit(b))
-        boots = part if boots is None else boots.unionByName(part)
-    return K.robustness(full.persist(), boots.persist())
+    boots = K.sweep_boots(v, bootstraps(v, "id", 10, 0.7, 1), "kmedoids", [5, 10])
+    return K.robustness(K.sweep(v, "kmedoids", [5, 10]).persist(), boots.persist())
 
 
 @query()
