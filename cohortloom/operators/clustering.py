@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortloom.operators import similarity as A
-from cohortloom.operators.stats import running_total
+from cohortloom.functions.spread import running_total
 
 MAX_POINTS = 5_000
 

@@ -59,7 +59,7 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) ->
 def bootstraps(df: DataFrame, key: str, times: int, share: float, seed: int) -> DataFrame:
     """Membership of ``times`` samples without replacement: boot_id and key, int(share * rows) each. A row's
     place in a sample's hash order is a running count that is spread over tasks."""
-    from cohortloom.operators.stats import running_total
+    from cohortloom.functions.spread import running_total
 
     total = df.agg((F.count("*") * F.lit(share)).cast("long").alias("_k"))
     out = df.select(key).withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_h", F.xxhash64(key, "boot_id", F.lit(seed))).withColumn("_one", F.lit(1))

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cohortloom.functions.spread import running_total
 
 
 def collisions(dictionary: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def expand_rules(labels: DataFrame, simple: dict[str, list], split: dict[str, li
 
 def with_row_index(chart: DataFrame) -> DataFrame:
     """Adds r, the index (from 0) of a chart row: the rank of its time among the encounter's times."""
-    return chart.withColumn("r", F.dense_rank().over(Window.partitionBy("enc").orderBy("t")) - 1)
+    times = running_total(chart.select("enc", "t").distinct().withColumn("_one", F.lit(1)), "t", {"_one": "r"}, ["enc"]).drop("_one")
+    return chart.join(times, ["enc", "t"])
 
 
 def fuse(chart: DataFrame, rules: DataFrame) -> DataFrame:
@@ -50,9 +52,9 @@ def fuse(chart: DataFrame, rules: DataFrame) -> DataFrame:
     encounter is bounded by its number of times; decisions are made on aggregated rows."""
     cells = with_row_index(chart).filter("value is not null").join(F.broadcast(rules.select("item", "name", "pos")), "item")
     # Patterns and contents are compared by two 64-bit digests each, so no series is collected.
-    place = F.row_number().over(Window.partitionBy("enc", "name", "item").orderBy("r"))
     digest = lambda *c: F.struct(*[F.bit_xor(F.xxhash64(F.lit(k), *c)).alias(f"h{k}") for k in (1, 2)])
-    cols = cells.withColumn("place", place).groupBy("enc", "name", "item", "pos").agg(
+    placed = running_total(cells.withColumn("_one", F.lit(1)), "r", {"_one": "place"}, ["enc", "name", "item"])
+    cols = placed.groupBy("enc", "name", "item", "pos").agg(
         F.count("*").alias("n"),
         F.min("r").alias("lo"),
         F.max("r").alias("hi"),

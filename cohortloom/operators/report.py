@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortloom.operators.stats import running_total, t_half_width
+from cohortloom.functions.spread import running_total
+from cohortloom.operators.stats import t_half_width
 
 
 def quartiles(col: str) -> Column:

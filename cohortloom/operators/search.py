@@ -80,7 +80,7 @@ def running_best(epochs: DataFrame) -> DataFrame:
 
 def pages(df: DataFrame, order: str, size: int) -> DataFrame:
     """Rows in pages of a size: adds page, from 0, along the order inside 64 ranges counted by tasks."""
-    from cohortloom.operators.stats import running_total
+    from cohortloom.functions.spread import running_total
 
     n = running_total(df.withColumn("_n", F.lit(1)), order, {"_n": "below"})
     return n.withColumn("page", F.floor(F.col("below") / size)).drop("below", "_n")

@@ -1,27 +1,24 @@
-"""Window-shaped work on series: (enc, item, t, value), t in minutes. All windows of a call share one
-exchange and sort on (enc, item)."""
+"""Window-shaped work on series: (enc, item, t, value), t in minutes. A series may be long: windows run over
+pieces of it (see functions/spread.py)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from cohortloom.functions.spread import neighbours, running_total
 
-def by_time(order: tuple[str, ...] = ("t",)):
-    return Window.partitionBy("enc", "item").orderBy(*order)
+
+SERIES = ["enc", "item"]
 
 
 def interpolate(grid: DataFrame, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """Fills null values linearly in time between known points and carries the last one forward; nothing is
     filled before the first. Adds is_observed."""
-    w = by_time(order)
-    known = F.when(F.col("value").isNotNull(), F.struct("t", "value"))
-    before = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = neighbours(grid, SERIES, list(order), ["t", "value"], F.col("value").isNotNull(), before="b", after="a")
     line = F.col("b.value") + (F.col("a.value") - F.col("b.value")) * (F.col("t") - F.col("b.t")) / F.nullif(F.col("a.t") - F.col("b.t"), F.lit(0))
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull(), F.col("b.value")).otherwise(F.coalesce(line, F.col("b.value")))
-    return grid.withColumn("b", before).withColumn("a", after).withColumn("is_observed", F.col("value").isNotNull()).withColumn("value", filled).drop("a", "b")
+    return near.withColumn("is_observed", F.col("value").isNotNull()).withColumn("value", filled).drop("a", "b")
 
 
 def deimpute(filled: DataFrame) -> DataFrame:
@@ -31,14 +28,14 @@ def deimpute(filled: DataFrame) -> DataFrame:
 
 def step_delta(series: DataFrame, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """(v2 - v1) / (t2 - t1) of successive points; null at equal times; the first point has none."""
-    w = by_time(order)
-    dv, dt = F.col("value") - F.lag("value").over(w), F.col("t") - F.lag("t").over(w)
-    return series.withColumn("n", F.row_number().over(w)).withColumn("delta", F.try_divide(dv, dt.cast("double"))).filter("n > 1").drop("n")
+    near = neighbours(series, SERIES, list(order), ["t", "value"], before="b", current=False).filter("b is not null")
+    return near.withColumn("delta", F.try_divide(F.col("value") - F.col("b.value"), (F.col("t") - F.col("b.t")).cast("double"))).drop("b")
 
 
 def rebase(series: DataFrame) -> DataFrame:
     """Time counted from the series' first point."""
-    return series.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy("enc", "item")))
+    first = series.groupBy(*SERIES).agg(F.min("t").alias("_t0"))
+    return series.join(first, SERIES).withColumn("t", F.col("t") - F.col("_t0")).drop("_t0")
 
 
 def trend_angle(series: DataFrame) -> DataFrame:
@@ -56,7 +53,12 @@ def aggregations() -> dict[str, Column]:
 
 def partition_stats(series: DataFrame, parts: int, funcs: dict[str, Column] | None = None, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """Statistics of each of ``parts`` equally long pieces of a series (the first pieces are longer)."""
-    cut = series.withColumn("part", F.ntile(parts).over(by_time(order)))
+    size = series.groupBy(*SERIES).agg(F.count("*").alias("_n"))
+    placed = running_total(series.withColumn("_one", F.lit(1)), order[0], {"_one": "_i"}, SERIES, list(order[1:])).join(size, SERIES)
+    short, more = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    head = more * (short + 1)
+    part = F.when(F.col("_i") < head, F.floor(F.col("_i") / (short + 1))).otherwise(more + F.floor((F.col("_i") - head) / F.greatest(short, F.lit(1)))) + 1
+    cut = placed.withColumn("part", part.cast("int"))
     return cut.groupBy("enc", "item", "part").agg(*[c.alias(n) for n, c in (funcs or aggregations()).items()])
 
 

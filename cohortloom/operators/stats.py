@@ -7,7 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cohortloom.functions.spread import running_total
 
 
 def rank_sum(df: DataFrame, label: str, value: str) -> DataFrame:
@@ -24,27 +25,6 @@ def rank_sum(df: DataFrame, label: str, value: str) -> DataFrame:
     return out.select(label, "n_in", "n_out", F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), z).alias("z"))
 
 
-def running_total(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, ties: list[str] | None = None, pieces: int = 64) -> DataFrame:
-    """Adds sums over the rows that come before, by ``order`` (a number) and ``ties``, per ``by``. ``sums`` names
-    the new column of each summed column.
-
-    The order is cut into ranges at approximate quantiles; each range of each group is summed by its own task,
-    and only the ranges' totals, at most ``pieces`` for a group, are added up in one place. So a group that
-    holds most rows is spread, and the result is exact wherever the cuts lie.
-    """
-    by, x = by or [], F.col(order).cast("double")
-    cuts = df.select(F.percentile_approx(x, [i / pieces for i in range(1, pieces)], 1000).alias("_q"))
-    piece = F.size(F.filter(F.coalesce("_q", F.array().cast("array<double>")), lambda c: c < x))
-    keyed = df.crossJoin(F.broadcast(cuts)).withColumn("_p", piece).drop("_q")  # one row
-    totals = keyed.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_s_{o}") for c, o in sums.items()])
-    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    start = totals.select(*by, "_p", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums.values()])
-    inside = Window.partitionBy(*by, "_p").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.withColumns({f"_i_{o}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, o in sums.items()}).join(start, [*by, "_p"])
-    out = joined.withColumns({o: F.col(f"_i_{o}") + F.col(f"_s_{o}") for o in sums.values()})
-    return out.drop("_p", *[f"{k}{o}" for o in sums.values() for k in ("_i_", "_s_")])
-
-
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p-value of a 2x2 table: the probability of all tables no likelier than the given one."""
     r1, c1, n = a + b, a + c, a + b + c + d
