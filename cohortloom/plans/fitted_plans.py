@@ -128,13 +128,18 @@ pairs as (select *, avg(value) over (partition by enc, item) as rec from pts),
 errs as (select enc, item, count(*) as n, avg((value - rec) * (value - rec)) as mse, var_pop(value) as variance from pairs group by 1, 2)"""
 
 
+def _r(c: str):
+    """Six digits; values that lie in the middle between two of them are pushed up in both engines."""
+    return F.round(F.col(c) + 1e-9, 6).alias(c)
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return R.series_mean_reconstruction(minutes(spark, d).select("enc", "item", "t", "value"))
 
 
-@query(f"with {_PAIRS} select enc, item, n, round(mse, 6) as mse, round(variance, 6) as variance from errs")
+@query(f"with {_PAIRS} select enc, item, n, round(mse + 1e-9, 6) as mse, round(variance + 1e-9, 6) as variance from errs")
 def reconstruction_error(spark: SparkSession, d: str) -> DataFrame:
-    return R.series_errors(_pairs(spark, d)).select("enc", "item", "n", F.round("mse", 6).alias("mse"), F.round("variance", 6).alias("variance"))
+    return R.series_errors(_pairs(spark, d)).select("enc", "item", "n", _r("mse"), _r("variance"))
 
 
 @query(f"with {_PAIRS} select enc, round(sum(n * mse) / sum(n), 6) as error, cast(sum(n) as bigint) as n from errs group by enc")
@@ -163,11 +168,11 @@ def error_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with {_PAIRS}, t as ({' union all '.join(f"select {s}::double as share, quantile_cont(mse, {1 - s / 100}) as threshold from errs" for s in (0.1, 1.0, 5.0, 10.0))})
-select share, round(threshold, 6) as threshold, round(avg(mse), 6) as mean, count(*) as n from t, errs where mse <= threshold group by share, threshold"""
+select share, round(threshold + 1e-9, 6) as threshold, round(avg(mse) + 1e-9, 6) as mean, count(*) as n from t, errs where mse <= threshold group by share, threshold"""
 )
 def worst_left_out(spark: SparkSession, d: str) -> DataFrame:
     w = R.worst_left_out(R.series_errors(_pairs(spark, d)), "mse", [0.1, 1.0, 5.0, 10.0])
-    return w.select("share", F.round("threshold", 6).alias("threshold"), F.round("mean", 6).alias("mean"), "n")
+    return w.select("share", _r("threshold"), _r("mean"), "n")
 
 
 @query(f"with {_PAIRS} select round(50.0::double * (count(*) filter (mse < 800) + count(*) filter (mse <= 800) + case when count(*) filter (mse <= 800) > count(*) filter (mse < 800) then 1 else 0 end) / count(mse), 6) as percentile from errs")
