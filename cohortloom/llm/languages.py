@@ -279,15 +279,20 @@ def passages(documents: DataFrame, samples: DataFrame, params: Params = Params()
         model = shared.value
         memo: dict[str, int] = {}
         table: list[np.ndarray] = []
+        labels: dict[str | None, str | None] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, model.params.texts):
                 part = batch.slice(k, model.params.texts)
                 if len(memo) > 200_000:
                     memo, table = {}, []
+                if len(labels) > 10_000:
+                    labels = {}
                 found = label_texts(part.column("text").to_pylist(), model, memo, table) if model.languages else []
                 rows = []
                 for doc, label, spans in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), found):
-                    named = label_language(label, model.languages)
+                    if label not in labels:
+                        labels[label] = label_language(label, model.languages)
+                    named = labels[label]
                     rows += [(doc, i, len(spans), lang, n, c, named) for i, (lang, n, c) in enumerate(spans, 1)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["doc_id", "seg", "n_segs", "lang", "n_words", "confidence", "label_lang"])

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.sources.tables import shared_folder
 
-#: Buckets of the pair table, and pairs that a task holds before it combines them.
-BUCKETS, HELD = 32, 1 << 21
+#: Buckets of the pair table, pairs that a task holds before it combines them, and the items of a basket that
+#: one task takes as first of a pair.
+BUCKETS, HELD, FIRSTS = 32, 1 << 21, 1024
 
 _PAIRS = "code_a string, code_b string, n bigint"
 
@@ -56,7 +57,10 @@ def changed_baskets(before: DataFrame | None, after: DataFrame) -> DataFrame:
 
 
 def pair_deltas(changed: DataFrame) -> DataFrame:
-    """Signed deltas of pair counts, combined in each task: code_a, code_b, n with code_a < code_b."""
+    """Signed deltas of pair counts, combined in each task: code_a, code_b, n with code_a < code_b.
+
+    A basket of many items is spread: each task takes FIRSTS of its items as the first of a pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,6 +74,7 @@ def pair_deltas(changed: DataFrame) -> DataFrame:
             item = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
             old, new = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("old", "new"))
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            begin = b.column("begin").to_numpy()
             size = max(len(names), 1)
             keys, signs, held = [], [], 0
 
@@ -79,10 +84,11 @@ def pair_deltas(changed: DataFrame) -> DataFrame:
                 key, n = key[n != 0], n[n != 0]
                 return pa.RecordBatch.from_arrays([pa.array(names[order][key // size], pa.string()), pa.array(names[order][key % size], pa.string()), pa.array(n)], ["code_a", "code_b", "n"])
 
-            for s, e in zip(offsets[:-1], offsets[1:]):
+            for s, e, at in zip(offsets[:-1], offsets[1:], begin):
                 m = e - s
-                for lo in range(0, m - 1, max(1, HELD // max(m, 1))):  # rows of the pair triangle, in blocks
-                    hi = min(m - 1, lo + max(1, HELD // m))
+                last = min(m - 1, at + FIRSTS)
+                for lo in range(at, last, max(1, HELD // max(m, 1))):  # rows of the pair triangle, in blocks
+                    hi = min(last, lo + max(1, HELD // m))
                     i = np.repeat(np.arange(lo, hi), m - 1 - np.arange(lo, hi))
                     j = np.arange(len(i)) - np.repeat(np.cumsum(m - 1 - np.arange(lo, hi)) - (m - 1 - np.arange(lo, hi)), m - 1 - np.arange(lo, hi)) + i + 1
                     i, j = s + i, s + j
@@ -97,7 +103,10 @@ def pair_deltas(changed: DataFrame) -> DataFrame:
             if held:
                 yield combined()
 
-    return changed.select("items").mapInArrow(run, _PAIRS).groupBy("code_a", "code_b").agg(F.sum("n").alias("n")).filter("n <> 0")
+    usual = changed.filter(F.size("items") <= FIRSTS).select("items", F.lit(0).cast("long").alias("begin"))
+    begins = F.sequence(F.lit(0).cast("long"), (F.size("items") - 1).cast("long"), F.lit(FIRSTS).cast("long"))
+    large = changed.filter(F.size("items") > FIRSTS).select("basket", "items", F.explode(begins).alias("begin")).repartition("basket", "begin")
+    return usual.unionByName(large.select("items", "begin")).mapInArrow(run, _PAIRS).groupBy("code_a", "code_b").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def item_deltas(changed: DataFrame) -> DataFrame:
@@ -143,7 +152,11 @@ class PairTable:
         return self.spark.read.schema(schema).parquet(self.items_path) if self.items_path else self.spark.createDataFrame([], schema)
 
     def update(self, before: DataFrame | None, after: DataFrame) -> None:
-        """Merge the change from ``before`` to ``after`` (distinct basket and item rows) into the counts."""
+        """Merge the change from ``before`` to ``after`` into the counts.
+
+        Both hold distinct (basket, item) rows without nulls, as code_baskets gives them; either may be empty,
+        ``before`` may be None. Equal tables change nothing; a basket of one item counts only for its item.
+        """
         v = self.version + 1
         root = f"{self.folder}/v{v}"
         changed_baskets(before, after).write.parquet(f"{root}/changed")

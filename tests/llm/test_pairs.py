@@ -71,12 +71,12 @@ def test_a_large_basket_goes_in_blocks(spark):
     from cohortloom.llm import pairs
 
     items = [(1, f"{i:04d}") for i in range(300)] + [(2, "0000"), (2, "0001")]
-    old = pairs.HELD
-    pairs.HELD = 1000
+    old = pairs.HELD, pairs.FIRSTS
+    pairs.HELD, pairs.FIRSTS = 1000, 40
     try:
         got = {(r.code_a, r.code_b): r.n for r in pair_deltas(changed_baskets(None, spark.createDataFrame(items, ROWS))).collect()}
     finally:
-        pairs.HELD = old
+        pairs.HELD, pairs.FIRSTS = old
     assert got == counts(items)[0]
 
 
