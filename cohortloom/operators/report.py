@@ -29,6 +29,18 @@ def cluster_summary(enc: DataFrame, label: str, number: str, died: str, flag: Co
     return g.withColumn("percent", 100.0 * F.col("size") / total).select((F.col("population") == 1).alias("population"), label, "size", "percent", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mortality", "share")
 
 
+def full_summary(enc: DataFrame, label: str, numbers: list[str], flags: list[str]) -> DataFrame:
+    """Population row and one row per cluster by grouping sets: size, mean and quartiles of each number, share of
+    each flag. population tells the first from a cluster whose label is null."""
+    aggs = [F.count("*").alias("size"), F.grouping(label).alias("_g")]
+    for c in numbers:
+        aggs += [F.avg(c).alias(f"{c}_mean"), quartiles(c).alias(f"_q_{c}")]
+    aggs += [F.avg(F.col(f).cast("int")).alias(f"{f}_share") for f in flags]
+    g = enc.groupingSets([[], [F.col(label)]], F.col(label)).agg(*aggs)
+    parts = [x for c in numbers for x in (F.col(f"{c}_mean"), *(F.col(f"_q_{c}")[i].alias(f"{c}_{n}") for i, n in enumerate(("q1", "median", "q3"))))]
+    return g.select((F.col("_g") == 1).alias("population"), label, "size", *parts, *[f"{f}_share" for f in flags])
+
+
 def mortality_interval(enc: DataFrame, label: str, died: str) -> DataFrame:
     """Mortality with its standard error and, where it is neither 0 nor 1, the half width of the 95 % Student
     interval."""
@@ -87,6 +99,13 @@ def code_mortality(codes: DataFrame, enc: DataFrame, label: str, died: str) -> D
     return cells.groupBy("code").agg(F.sum("n").alias("total"), F.max("pop").alias("mortality"), F.sum("sq").alias("surprise"))
 
 
+def code_mortality_cells(codes: DataFrame, enc: DataFrame, label: str, died: str) -> DataFrame:
+    """Encounters and mortality of each code in each cluster that has it, in long form: code, label, n,
+    mortality, and share, the cluster's percentage of the code's encounters."""
+    cells = codes.select("enc", "code").distinct().join(enc.select("enc", label, F.col(died).cast("int").alias("d")), "enc").groupBy("code", label).agg(F.count("*").alias("n"), F.avg("d").alias("mortality"))
+    return cells.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("code")))
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Terms whose sum, halved, is the squared Jensen-Shannon distance to base 2."""
     m = (p + q) / 2

@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from cohortloom.functions.spread import running_total
 
 
-def rank_sum(df: DataFrame, label: str, value: str) -> DataFrame:
-    """Wilcoxon rank-sum score of each label against the rest: label, n_in, n_out, z; average ranks for ties,
-    no correction. Values are ranked by counting distinct values, so equal values meet in one count row."""
+def rank_sum(df: DataFrame, label: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """Wilcoxon rank-sum score of each label against the rest, for each group of ``by`` (attributes): by...,
+    label, n_in, n_out, z; average ranks for ties, no correction; null where a side is empty. Equal values meet
+    in one count row before they are ranked."""
+    by = by or []
     seen = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    cells = seen.groupBy(label, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    per_value = cells.groupBy("v").agg(F.sum("n").alias("t"))
-    ranked = running_total(per_value, "v", {"t": "below"}).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
-    w = cells.join(ranked, "v").groupBy(label).agg(F.sum(F.col("n") * F.col("rank")).alias("w"), F.sum("n").alias("n_in"))
-    total = seen.agg(F.count("*").alias("n_all"))
-    out = w.crossJoin(F.broadcast(total)).withColumn("n_out", F.col("n_all") - F.col("n_in"))  # one row
+    cells = seen.groupBy(*by, label, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    per_value = cells.groupBy(*by, "v").agg(F.sum("n").alias("t"))
+    ranked = running_total(per_value, "v", {"t": "below"}, by).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
+    w = cells.join(ranked, [*by, "v"]).groupBy(*by, label).agg(F.sum(F.col("n") * F.col("rank")).alias("w"), F.sum("n").alias("n_in"))
+    total = seen.groupBy(*by).agg(F.count("*").alias("n_all"))
+    out = (w.join(total, by) if by else w.crossJoin(F.broadcast(total))).withColumn("n_out", F.col("n_all") - F.col("n_in"))  # one row
     z = (F.col("w") - F.col("n_in") * (F.col("n_all") + 1) / 2.0) / F.sqrt(F.col("n_in") * F.col("n_out") * (F.col("n_all") + 1) / 12.0)
-    return out.select(label, "n_in", "n_out", F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), z).alias("z"))
+    return out.select(*by, label, "n_in", "n_out", F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), z).alias("z"))
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:

@@ -282,3 +282,91 @@ def bonferroni_threshold(spark: SparkSession, d: str) -> DataFrame:
 def itemset_enrichment(spark: SparkSession, d: str) -> DataFrame:
     e = I.listing(_enriched(spark, d), "lab")
     return e.select("lab", "place", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
+
+
+@query(
+    f"""with {CODE}, {ENC}, {_L2}, c as (select code, lab, count(*) as n, avg(cast(died as int)) as mortality from codes join enc using (enc) group by 1, 2)
+select code, lab, n, round(mortality, 6) as mortality, round(100.0::double * n / sum(n) over (partition by code), 6) as share from c"""
+)
+def code_mortality_by_cluster(spark: SparkSession, d: str) -> DataFrame:
+    c = code(spark, d).select("enc", F.col("l2").alias("code"))
+    return R.code_mortality_cells(c, enc(spark, d), "lab", "died").withColumns({x: F.round(x, 6) for x in ("mortality", "share")})
+
+
+_NUMBERS = ["age", "bmi", "days", "days_survivors", "days_deceased", "days_hospital", "visits"]
+_FLAGS = ["died_28", "died_hospital", "died_later", "female"]
+
+
+def hospital_records(spark: SparkSession, d: str) -> DataFrame:
+    """Static records of the admissions, labelled by their first station in alphabetical order."""
+    from cohortloom.operators import static as S
+
+    stays = table(spark, d, "icustays")
+    a = table(spark, d, "admissions").select("hadm_id", "subject_id", "admittime", "dischtime").join(table(spark, d, "patients"), "subject_id", "left")
+    size = S.median_of_medians(table(spark, d, "chartevents"), table(spark, d, "static_fields"))
+    station = stays.groupBy("hadm_id").agg(F.min("first_careunit").alias("station"))
+    r = a.join(S.stays_summary(stays), "hadm_id", "left").join(size, "hadm_id", "left").join(station, "hadm_id", "left")
+    f = S.survival_flags("dod", "admittime", "dischtime")
+    r = r.select(
+        "hadm_id",
+        "station",
+        S.age_years("dob", "admittime").alias("age"),
+        S.bmi("weight_kg", "height_cm").alias("bmi"),
+        F.col("FUTURE_days_in_care").alias("days"),
+        S.days_between("admittime", "dischtime").alias("days_hospital"),
+        F.col("FUTURE_icu_visits").cast("double").alias("visits"),
+        (~f["FUTURE_survival"]).alias("died_28"),
+        (~f["FUTURE_survival_to_discharge"]).alias("died_hospital"),
+        (~f["FUTURE_survival_all_time"]).alias("died_later"),
+        (F.upper("gender") == "F").alias("female"),
+    )
+    return S.split_by_survival(r.withColumn("alive", ~F.col("died_28")), "days", "alive").drop("alive")
+
+
+_HOSPITAL = """moments as (select hadm_id, field_name, itemid, charttime, avg(valuenum) as v from chartevents join static_fields using (itemid) where valuenum is not null and valuenum <> 0 group by all),
+per_item as (select hadm_id, field_name, itemid, quantile_cont(v, 0.5) as v from moments group by all),
+per_field as (select hadm_id, field_name, quantile_cont(v, 0.5) as v from per_item group by all),
+size as (select hadm_id, quantile_cont(case field_name when 'weight_kg' then v when 'weight_oz' then v / 35.274::double when 'weight_lb' then v / 2.2046::double end, 0.5) as kg,
+  quantile_cont(case field_name when 'height_cm' then v when 'height_in' then v * 2.54::double end, 0.5) / 100 as m from per_field group by hadm_id),
+stays as (select hadm_id, min(first_careunit) as station, count(case when intime is not null and outtime is not null then 1 end)::double as visits,
+  coalesce(sum(case when intime is not null and outtime is not null then (epoch_us(outtime) - epoch_us(intime)) / 1000000.0::double / 86400 end), 0) as days from icustays group by 1),
+base as (select a.hadm_id, s.station, least((epoch_us(admittime) - epoch_us(dob)) / 1000000.0::double / 86400 / 365.25::double, 89.0::double) as age, z.kg / (z.m * z.m) as bmi, s.days,
+  (epoch_us(dischtime) - epoch_us(admittime)) / 1000000.0::double / 86400 as days_hospital, s.visits, not coalesce(not (dod <= admittime + interval 28 days), true) as died_28,
+  not coalesce(not (dod <= dischtime), true) as died_hospital, not coalesce(not (dod > admittime + interval 28 days), true) as died_later, upper(gender) = 'F' as female
+  from admissions a left join patients p using (subject_id) left join stays s on s.hadm_id = a.hadm_id left join size z on z.hadm_id = a.hadm_id),
+r as (select *, case when not died_28 then days end as days_survivors, case when died_28 then days end as days_deceased from base)"""
+
+
+@query(
+    f"""with {_HOSPITAL} select grouping(station) = 1 as population, station, count(*) as size,
+  {', '.join(f"round(avg({c}), 6) as {c}_mean, round(quantile_cont({c}, 0.25), 6) as {c}_q1, round(quantile_cont({c}, 0.5), 6) as {c}_median, round(quantile_cont({c}, 0.75), 6) as {c}_q3" for c in _NUMBERS)},
+  {', '.join(f"round(avg(cast({f} as int)), 6) as {f}_share" for f in _FLAGS)} from r group by grouping sets ((), (station))"""
+)
+def hospital_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = R.full_summary(hospital_records(spark, d), "station", _NUMBERS, _FLAGS)
+    return s.withColumns({c: F.round(c, 6) for c in s.columns if c not in ("population", "station", "size")})
+
+
+@query(
+    """with icu as (select hadm_id, min(first_careunit) as station from icustays group by 1), g as (select itemid from grid_items),
+med as (select c.hadm_id, c.itemid, quantile_cont(c.valuenum, 0.5) as v from chartevents c join g using (itemid) where valuenum is not null group by 1, 2),
+x as (select m.itemid, i.station, m.v from med m join icu i using (hadm_id) where i.station is not null),
+r as (select *, rank() over (partition by itemid order by v) + (count(*) over (partition by itemid, v) - 1) / 2.0::double as r from x),
+w as (select itemid, station, sum(r)::double as w, count(*) as n_in from r group by 1, 2), t as (select itemid, count(*) as n_all from x group by 1)
+select itemid, station, n_in, n_all - n_in as n_out, round(case when n_all > n_in then (w - n_in * (n_all + 1) / 2.0::double) / sqrt(n_in * (n_all - n_in) * (n_all + 1) / 12.0::double) end, 6) as z from w join t using (itemid)"""
+)
+def rank_sum_by_signal(spark: SparkSession, d: str) -> DataFrame:
+    """Median level of each monitored item, each station against the rest."""
+    from cohortloom.operators.stats import rank_sum
+
+    items = table(spark, d, "grid_items").select("itemid")
+    med = table(spark, d, "chartevents").filter("valuenum is not null").join(items, "itemid", "left_semi").groupBy("hadm_id", "itemid").agg(F.percentile("valuenum", F.lit(0.5)).alias("v"))
+    station = table(spark, d, "icustays").groupBy("hadm_id").agg(F.min("first_careunit").alias("station"))
+    return rank_sum(med.join(station, "hadm_id"), "station", "v", ["itemid"]).withColumn("z", F.round("z", 6))
+
+
+@query(f"with {EV}, s as (select c_custkey as enc, c_mktsegment as cat, c_acctbal as num from customer) select event_id, item, value, cat, num from ev join s using (enc)")
+def chart_with_static(spark: SparkSession, d: str) -> DataFrame:
+    """Static attributes beside each chart row."""
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("enc"), F.col("c_mktsegment").alias("cat"), F.col("c_acctbal").alias("num"))
+    return ev(spark, d).join(s, "enc").select("event_id", "item", "value", "cat", "num")
