@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.ship import ship, shipped
+
 # Codes and names of each language, lower case.
 ALIASES = {
     "en": "en eng english englisch anglais inglés ingles inglese inglês engels angielski английский",
@@ -273,10 +275,10 @@ def passages(documents: DataFrame, samples: DataFrame, params: Params = Params()
     the model is broadcast, its size is bounded by params.samples.
     """
     model = model_of(samples, params)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = ship(documents.sparkSession.sparkContext, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shipped(shared)
         memo: dict[str, int] = {}
         table: list[np.ndarray] = []
         labels: dict[str | None, str | None] = {}

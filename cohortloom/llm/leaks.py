@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cohortloom.functions.ship import ship, shipped
+
 #: Successive words that make a leak, share of a text's words from which the whole text goes, and the most
 #: words of one automaton; more items are split over several automata that a text passes one after the other.
 LEAST_WORDS, MOST_COVERED, AUTOMATON_WORDS = 12, 0.5, 1_000_000
@@ -184,10 +186,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORD
     sc = documents.sparkSession.sparkContext
     out = None
     for automaton in automata(items, least):
-        shared = sc.broadcast(automaton)
+        shared = ship(sc, automaton)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+            automaton = shipped(shared)
             for b in batches:
                 docs, found = [], []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -232,11 +234,11 @@ def clean_text(text: str, automata_: list[SuffixAutomaton], most_covered: float
 def remove_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, most_covered: float = MOST_COVERED) -> DataFrame:
     """doc_id, n_words, n_leaked and clean of every document: the text without spans of at least ``least``
     leaked words, null where more than ``most_covered`` of its words leaked. Null texts stay null."""
-    shared = documents.sparkSession.sparkContext.broadcast(automata(items, least))
+    shared = ship(documents.sparkSession.sparkContext, automata(items, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [clean_text(t, shared.value, most_covered) if t is not None else (0, 0, None) for t in b.column("text").to_pylist()]
+            rows = [clean_text(t, shipped(shared), most_covered) if t is not None else (0, 0, None) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_leaked", "clean"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_leaked bigint, clean string")
