@@ -26,6 +26,9 @@ _WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}]|\p{Cf}(?!\s*[\r\n])|\p{
 _HYPHEN = regex.compile(r"\p{Cf}*[-‐‑\u00ad¬]\p{Cf}*[ \t]*(?:\r\n|[\r\n\u0085\u2028])[ \t>*|#•·\p{Cf}-]*")
 _DROPPED = regex.compile(r"[\p{M}\p{Cf}]+")
 _PLAIN = regex.compile(r"[\p{L}\p{N}]+")
+_ASCII = regex.compile(r"[a-z0-9]+")
+_SYMBOLS = regex.compile(r"[\p{S}\p{P}]+")
+_DIVIDED = regex.compile(r"[-‐‑\u00ad¬]\p{Cf}*[ \t]*[\r\n\u0085\u2028]")
 
 # Letters that have no decomposition, and what they are written as without accents.
 _LETTERS = str.maketrans({"ø": "o", "đ": "d", "ð": "d", "ł": "l", "ı": "i", "æ": "ae", "œ": "oe", "þ": "th"})
@@ -43,6 +46,11 @@ def fold(word: str) -> list[str]:
 def words_of(text: str, vocabulary: set[str] | dict[str, int] | None = None, split: bool = False) -> list[str]:
     """Normalised words. A word divided by a hyphen at a line end is joined; where the vocabulary does not
     have the joined word the parts stand alone. ``split`` prefers the parts if the vocabulary has them all."""
+    if not _DIVIDED.search(text):  # no division: the whole text at once gives the same words
+        if text.isascii():
+            return _ASCII.findall(text.lower())
+        flat = unicodedata.normalize("NFKD", _SYMBOLS.sub(" ", text)).casefold()
+        return _PLAIN.findall(_DROPPED.sub("", unicodedata.normalize("NFKD", flat)).translate(_LETTERS))
     out: list[str] = []
     for raw in _WORD.findall(text):
         if raw.isalnum():
@@ -168,7 +176,7 @@ def _hits(text: str, automaton: SuffixAutomaton) -> set[int]:
     words = words_of(text, automaton.vocabulary)
     for _, _, items in automaton.matches(words):
         found.update(items)
-    if "\n" in text or "\r" in text or "\u2028" in text or "\x85" in text:
+    if _DIVIDED.search(text):
         other = words_of(text, automaton.vocabulary, split=True)
         if other != words:
             for _, _, items in automaton.matches(other):
