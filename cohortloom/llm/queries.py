@@ -30,7 +30,8 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     s = _pair_table(spark, d).scores(least=5)
-    return s.filter("200 * n_ab >= total and n_ab * total >= 3 * n_a * n_b").select("code_a", "code_b")
+    wide = [F.col(c).cast("decimal(19,0)") for c in ("n_ab", "total", "n_a", "n_b")]  # products of counts may pass a long
+    return s.filter((200 * F.col("n_ab") >= F.col("total")) & (wide[0] * wide[1] >= 3 * wide[2] * wide[3])).select("code_a", "code_b")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
