@@ -189,9 +189,8 @@ def metric_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_explain(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    x = o.select((F.col("o_orderstatus") == "F").alias("died"), "o_totalprice", "c_acctbal", F.col("c_nationkey").alias("nation"), F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"))
-    return P.trees(x, "died", ["o_totalprice", "c_acctbal", "nation", "day"], depths=(6,), gains=(2**-4, 2**-8))
+    x = vectors(spark, d).select((F.col("label") < 5).alias("y"), *[F.col("features")[i].alias(f"f{i}") for i in range(16)])
+    return P.trees(x, "y", [f"f{i}" for i in range(16)], depths=(6,), gains=(2**-6, 2**-10))
 
 
 @query()

@@ -370,3 +370,14 @@ def chart_with_static(spark: SparkSession, d: str) -> DataFrame:
     """Static attributes beside each chart row."""
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("enc"), F.col("c_mktsegment").alias("cat"), F.col("c_acctbal").alias("num"))
     return ev(spark, d).join(s, "enc").select("event_id", "item", "value", "cat", "num")
+
+
+@query()
+def itemset_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Enriched maximal sets of each cluster at two depths of the code tree, depth as a column."""
+    c, labels, out = code(spark, d), enc(spark, d).select("enc", "lab"), None
+    for depth, level in ((1, "l1"), (2, "l2")):
+        tx = I.transactions(c.select("enc", F.col(level).alias("item"))).join(labels, "enc")
+        e = I.enrichment(tx, I.maximal(I.frequent(tx, 0.02)), "lab").select(F.lit(depth).alias("depth"), "lab", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
+        out = e if out is None else out.unionByName(e)
+    return out
