@@ -259,13 +259,7 @@ def permuted(labels: DataFrame, times: int, seed: int) -> DataFrame:
 
 def agreements(pairs: DataFrame, by: list[str]) -> DataFrame:
     """All agreement measures per group of (a, b) pairs, long: by..., metric, score."""
-    t = A.contingency(pairs, by)
-    out = None
-    for name, f in A.MEASURES.items():
-        col = {"mutual_info": "ami", "rand": "ari", "jaccard": "jaccard"}[name]
-        part = f(t, by).select(*by, F.lit(name).alias("metric"), F.col(col).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return A.all_measures(A.contingency(pairs, by), by)
 
 
 def robustness(full: DataFrame, boots: DataFrame, times: int = 10, seed: int = 1) -> DataFrame:

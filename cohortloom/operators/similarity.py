@@ -82,6 +82,41 @@ def mutual_information(table: DataFrame, by: list[str] | None = None) -> DataFra
     return out.select(*by, "ami")
 
 
+def measures_of(cells: list[tuple[int, int, int]]) -> dict[str, float]:
+    """All agreement measures of one contingency table (a, b, n)."""
+    rows: dict[int, int] = {}
+    cols: dict[int, int] = {}
+    for a, b, n in cells:
+        rows[a] = rows.get(a, 0) + n
+        cols[b] = cols.get(b, 0) + n
+    total = sum(rows.values())
+    two = lambda counts: sum(n * (n - 1) / 2 for n in counts)
+    sa, sb, sab = two(rows.values()), two(cols.values()), two(n for _, _, n in cells)
+    expected = sa * sb / two([total]) if total > 1 else 0.0
+    gap = (sa + sb) / 2 - expected
+    best_a, best_b = {}, {}
+    for a, b, n in cells:
+        best_a[a], best_b[b] = max(best_a.get(a, 0), n), max(best_b.get(b, 0), n)
+    return {
+        "mutual_info": adjusted_mutual_info(cells),
+        "rand": (sab - expected) / gap if gap else 1.0,
+        "jaccard": min(sum(best_a.values()), sum(best_b.values())) / total,
+    }
+
+
+def all_measures(table: DataFrame, by: list[str]) -> DataFrame:
+    """Every measure of each group's contingency table in one pass: by..., metric, score. A group has at most
+    labels times labels rows."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = measures_of([(int(a), int(b), int(n)) for a, b, n in zip(pdf["a"], pdf["b"], pdf["n"])])
+        keys = pdf[by].iloc[[0] * len(m)].reset_index(drop=True)
+        return keys.assign(metric=list(m), score=[float(v) for v in m.values()])
+
+    types = dict(table.dtypes)
+    return table.groupBy(*by).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in by) + ", metric string, score double")
+
+
 #: Registry of agreement measures: name to a function of the contingency table.
 MEASURES = {"mutual_info": mutual_information, "rand": rand_index, "jaccard": jaccard}
 

@@ -112,6 +112,8 @@ def test_agreement_fixture(spark):
     t = A.contingency(labels(spark, [0, 0, 0, 1, 1, 1, 2, 2], [0, 0, 1, 1, 1, 2, 2, 2])).persist()
     assert abs(A.rand_index(t).head().ari - 0.238095) < 1e-6
     assert A.jaccard(t).head().jaccard == 0.75
+    m = {r.metric: r.score for r in A.all_measures(t.withColumn("g", F.lit("x")), ["g"]).collect()}
+    assert abs(m["rand"] - 0.238095) < 1e-6 and m["jaccard"] == 0.75 and abs(m["mutual_info"] - A.mutual_information(t).head().ami) < 1e-12
     q = A.label_quality(spark.createDataFrame([("x", v) for v in [0, 0, 0, 1, 1, 1, 2, 2]], "clustering_id string, label int")).head()
     assert abs(math.log(q.k_effective) - 1.082196) < 1e-6 and not q.trivial and not q.pseudo_trivial
 
