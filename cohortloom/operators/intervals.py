@@ -75,9 +75,15 @@ def _partial(width: int):
             scopes = b.column("scope").dictionary_encode()
             code = scopes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             entity, s, e = (b.column(c).to_numpy(zero_copy_only=False) for c in ("entity_id", "s", "e"))
+            # Intervals are united before they are cut, so copies and long intervals give each shard one piece.
+            keys, group = np.unique(np.stack([code, entity]), axis=1, return_inverse=True)
+            g, s, e = unite(group.ravel().astype(np.int64), s, e)
             row, shard, lo, hi = split_shards(s, e, width)
-            keys, group = np.unique(np.stack([code[row], entity[row], shard]), axis=1, return_inverse=True)
-            g, runs = pack(*unite(group.ravel().astype(np.int64), lo, hi))
+            first = change_points([g[row], shard])
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+            _, runs = pack(number, lo, hi)
+            keys = np.stack([keys[0][g[row[first]]], keys[1][g[row[first]]], shard[first]])
+            g = np.arange(len(first))
             names = scopes.dictionary.take(pa.array(keys[0][g]))
             yield pa.RecordBatch.from_arrays([names, pa.array(keys[1][g]), pa.array(keys[2][g]), pa.array(runs, pa.binary())], ["scope", "entity_id", "shard", "runs"])
 
