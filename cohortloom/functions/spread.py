@@ -27,7 +27,7 @@ def running_total(df: DataFrame, order: str, sums: dict[str, str], by: list[str]
     """Adds sums over the rows that come before, by ``order`` and ``ties``, per ``by``. ``sums`` names the new
     column of each summed column."""
     by = by or []
-    keyed = pieces(df, order)
+    keyed = pieces(df, order).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
     totals = keyed.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_s_{o}") for c, o in sums.items()])
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(*by, "_p", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums.values()])
@@ -44,7 +44,7 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], fields: list[str]
     there = F.lit(True) if where is None else where
     names = list(dict.fromkeys([*order, *fields]))
     row = F.when(there, F.struct(*names))
-    keyed = pieces(df, order[0])
+    keyed = pieces(df, order[0]).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
     summary = keyed.groupBy(*by, "_p").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
     w = Window.partitionBy(*by).orderBy("_p")
     edges = summary.select(
