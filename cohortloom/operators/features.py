@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortloom.functions.spread import running_total
+
 
 def baseline_matrix(series: DataFrame, items: list[str], static: DataFrame, columns: list[str]) -> DataFrame:
     """Mean of each series beside static columns, one row per encounter; missing cells take the column's
@@ -99,6 +101,28 @@ def padded(series: DataFrame, length: int, fill: float) -> DataFrame:
     return xs.select("enc", "item", "n", F.concat("xs", F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(length) - F.col("n")))).alias("xs"))
 
 
+def padded_batches(series: DataFrame, fill: float, batch: int = 4, most: int = 0, chunk: int = 1024) -> DataFrame:
+    """Series as arrays of one length per batch, that of its longest series; a batch holds the series of
+    ``batch`` encounters, in order of their keys (numbers). Nothing is cut unless ``most`` (0: never) bounds the
+    length. Arrays come in chunks of at most ``chunk`` values, so a long series is many rows. Places of values are
+    running counts over pieces of a series. Output: batch, enc, item, n, chunk, xs."""
+    keys = ["enc", "item"]
+    placed = running_total(series.withColumn("_one", F.lit(1)), "t", {"_one": "_i"}, keys, ["value"])
+    if most:
+        placed = placed.filter(F.col("_i") < most)
+    sizes = series.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    place = running_total(sizes.select("enc").distinct().withColumn("_one", F.lit(1)), "enc", {"_one": "_e"}).select("enc", F.floor(F.col("_e") / batch).alias("batch"))
+    longest = sizes.join(place, "enc").groupBy("batch").agg(F.max("n").alias("_l"))
+    if most:
+        longest = longest.withColumn("_l", F.least("_l", F.lit(most)))
+    frame = sizes.join(place, "enc").join(longest, "batch").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_l") - 1) / chunk).cast("int"))))
+    held = F.sort_array(F.collect_list(F.struct("_i", "value")))
+    parts = placed.groupBy(*keys, F.floor(F.col("_i") / chunk).cast("int").alias("chunk")).agg(F.transform(held, lambda x: x["value"]).alias("xs"))
+    xs = F.coalesce("xs", F.array().cast("array<double>"))
+    whole = F.least(F.lit(chunk), F.col("_l") - F.col("chunk") * chunk)
+    return frame.join(parts, [*keys, "chunk"], "left").select("batch", *keys, "n", "chunk", F.concat(xs, F.array_repeat(F.lit(float(fill)), (whole - F.size(xs)).cast("int"))).alias("xs"))
+
+
 def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ...] = (6, 10), gains: tuple[float, ...] = (2**-4, 2**-6, 2**-8), least: int = 50) -> DataFrame:
     """Decision trees over a grid of depth and least gain; trees that are only a root and repeated trees are
     left out. Gains are those of the node, splits are binned (an approximation the library makes).

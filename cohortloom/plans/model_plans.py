@@ -74,6 +74,19 @@ def padded_series(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("xs", F.array_join(F.transform("xs", lambda x: F.round(x * 100).cast("long").cast("string")), ","))
 
 
+@query(
+    f"""with {MIN}, s as (select enc, item, list(value order by t, value) as xs from mins group by 1, 2), e as (select enc, (row_number() over (order by enc) - 1) // 4 as batch from (select distinct enc from mins)),
+p as (select batch, enc, item, xs, max(len(xs)) over (partition by batch) as l from s join e using (enc)),
+c as (select *, unnest(range((l - 1) // 1024 + 1)) as chunk from p),
+w as (select *, least(1024, l - chunk * 1024) as wide, xs[chunk * 1024 + 1:chunk * 1024 + 1024] as part from c)
+select batch, enc, item, cast(len(xs) as int) as n, cast(chunk as int) as chunk, array_to_string(list_transform(part || list_transform(range(wide - len(part)), lambda i: -1.0::double), lambda x: cast(round(x * 100) as bigint)), ',') as xs from w"""
+)
+def padded_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All readings of every series, padded to the longest series of a batch of four encounters."""
+    p = P.padded_batches(minutes(spark, d), -1.0)
+    return p.withColumn("xs", F.array_join(F.transform("xs", lambda x: F.round(x * 100).cast("long").cast("string")), ","))
+
+
 @query()
 def pca_features(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
