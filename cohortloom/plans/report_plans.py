@@ -255,6 +255,16 @@ def itemset_support(spark: SparkSession, d: str) -> DataFrame:
     return I.support_counts(tx, sets, ["lab"]).select("lab", F.array_join("itemset", "|").alias("itemset"), "n")
 
 
+@query(
+    f"""with {_SETS}, {ENC}, labelled as (select i.enc, e.lab, list(i.item) as items from items i join enc e using (enc) group by 1, 2)
+select l.lab, array_to_string(f.itemset, '|') as itemset, count(*) as n from labelled l join freq f on list_has_all(l.items, f.itemset) group by 1, 2"""
+)
+def itemset_support_all(spark: SparkSession, d: str) -> DataFrame:
+    """Support counts of all frequent sets, of any size."""
+    tx = _tx(spark, d)
+    return I.support_counts(tx, I.frequent(tx, 0.05), ["lab"]).select("lab", F.array_join("itemset", "|").alias("itemset"), "n")
+
+
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
     tx = _tx(spark, d)
     return I.enrichment(tx, I.frequent(tx, 0.05), "lab")

@@ -21,3 +21,11 @@ def test_padding_cuts_nothing(spark):
     }
     cut = P.padded_batches(s, -1.0, batch=2, most=2, chunk=3).filter("enc < 3").orderBy("enc").collect()
     assert [(r.n, r.xs) for r in cut] == [(7, [0.0, 1.0]), (1, [9.0, -1.0])]
+
+
+def test_support_of_sets_of_any_size(spark):
+    import cohortloom.plans.report_plans as Q
+
+    got = Q.itemset_support_all(spark, "/root/testdata/sf0.001").collect()
+    assert max(r.itemset.count("|") + 1 for r in got) > 2
+    assert len({r.itemset for r in got if r.itemset.count("|") == 2}) == 20
