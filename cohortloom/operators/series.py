@@ -68,6 +68,14 @@ def series_stats(series: DataFrame, everyone: DataFrame) -> DataFrame:
     return everyone.select("enc").distinct().join(s, "enc", "left")
 
 
+def signal_stats(series: DataFrame, everyone: DataFrame, items: DataFrame) -> DataFrame:
+    """Median, least and largest value of each series; every encounter has a row for every signal of the
+    dictionary ``items``, with nulls where it has no values. Other signals go."""
+    s = series.groupBy(*SERIES).agg(F.percentile("value", F.lit(0.5)).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    frame = everyone.select("enc").distinct().crossJoin(F.broadcast(items.select("item").distinct()))  # one row per signal
+    return frame.join(s, SERIES, "left")
+
+
 def positional_encoding(points: DataFrame, t_max: float, dims: int) -> DataFrame:
     """Sinusoidal time encoding with ``dims`` (even, at least 4) dimensions over training time 0..t_max."""
     base = t_max / (0.75 * 3.141592653589793)

@@ -183,6 +183,16 @@ def series_stats_median(spark: SparkSession, d: str) -> DataFrame:
     return S.series_stats(e.filter("item = 'error' and value > 95"), e).withColumn("median", F.round("median", 6))
 
 
+@query(
+    f"""with {EV}, s as (select enc, item, round(quantile_cont(value, 0.5), 6) as median, min(value) as low, max(value) as high from ev group by enc, item)
+select e.enc, i.item, s.median, s.low, s.high from (select distinct enc from ev) e cross join (select distinct item from ev) i left join s on s.enc = e.enc and s.item = i.item"""
+)
+def series_stats_by_signal(spark: SparkSession, d: str) -> DataFrame:
+    """Level and range of each series over all events."""
+    e = ev(spark, d)
+    return S.signal_stats(e, e, e).withColumn("median", F.round("median", 6))
+
+
 @query(f"with {MIN} select enc, item, event_id, t - min(t) over (partition by enc, item) as t from mins")
 def rebased_times(spark: SparkSession, d: str) -> DataFrame:
     return S.rebase(minutes(spark, d)).select("enc", "item", "event_id", "t")

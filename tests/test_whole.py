@@ -1,6 +1,7 @@
 """Operators that once did less than the whole job."""
 
 from cohortloom.operators import features as P
+from cohortloom.operators import series as S
 
 SERIES = "enc bigint, item string, t bigint, value double"
 
@@ -29,3 +30,11 @@ def test_support_of_sets_of_any_size(spark):
     got = Q.itemset_support_all(spark, "/root/testdata/sf0.001").collect()
     assert max(r.itemset.count("|") + 1 for r in got) > 2
     assert len({r.itemset for r in got if r.itemset.count("|") == 2}) == 20
+
+
+def test_series_keep_signals_apart(spark):
+    s = spark.createDataFrame([(1, "a", 0, 1.0), (1, "a", 1, 4.0), (1, "b", 0, 90.0), (2, "b", 0, 7.0)], SERIES)
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "item string")
+    got = {(r.enc, r.item): (r.median, r.low, r.high) for r in S.signal_stats(s, s, items).collect()}
+    none = (None, None, None)
+    assert got == {(1, "a"): (2.5, 1.0, 4.0), (1, "b"): (90.0, 90.0, 90.0), (1, "c"): none, (2, "a"): none, (2, "b"): (7.0, 7.0, 7.0), (2, "c"): none}
