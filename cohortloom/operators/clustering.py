@@ -2,7 +2,8 @@
 
 k-medoids, centroid linkage and density clustering need all distances, which grow with the square of the
 points; they refuse more than MAX_POINTS points, whose matrix is then small enough to send to every task. Each
-run of the sweep is a task of its own. k-means has no such bound. Agreement and selection are aggregates over
+run of the sweep is a task of its own. k-means has no such bound, nor have silhouette and neighbour counts, which
+work in pairs of blocks. Agreement and selection are aggregates over
 long tables of labels.
 """
 
@@ -22,6 +23,8 @@ from cohortloom.operators import similarity as A
 from cohortloom.functions.spread import running_total
 
 MAX_POINTS = 5_000
+#: points of a block where distances are worked in pairs of blocks.
+BLOCK = 2_048
 
 _LABELS = "clustering_id string, k int, id bigint, label int"
 
@@ -213,38 +216,84 @@ def technical_quality(features: DataFrame, labels: DataFrame, label: str = "labe
     return between.crossJoin(within).crossJoin(worst).select(ch.alias("calinski_harabasz"), "davies_bouldin")  # one row each
 
 
-def silhouette(features: DataFrame, labels: DataFrame, label: str = "label", block: int = 512) -> DataFrame:
-    """Mean silhouette with Euclidean distances: each point against all, in blocks of the bounded matrix; -1
-    where there is only one cluster or every point is its own."""
-    ids, x = matrix(features)
-    lab = {r[0]: r[1] for r in labels.select("id", label).collect()}  # as many rows as the matrix
-    y = np.array([lab[i] for i in ids.tolist()])
-    shared = features.sparkSession.sparkContext.broadcast((x, y))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = shared.value
-        names, code, n = np.unique(y, return_inverse=True, return_counts=True)
-        one = np.eye(len(names))[code]
-        sq = (x * x).sum(1)
-        for f in frames:
-            at = f["i"].to_numpy()
-            for k in range(0, len(at), block):
-                r = at[k : k + block]
-                d = np.sqrt(np.maximum(sq[r][:, None] + sq[None, :] - 2 * x[r] @ x.T, 0))
-                d[np.arange(len(r)), r] = 0
-                sums = d @ one
-                own = n[code[r]]
-                a = sums[np.arange(len(r)), code[r]] / np.maximum(own - 1, 1)
-                mean = sums / n
-                mean[np.arange(len(r)), code[r]] = np.inf
-                b = mean.min(1)
-                s = np.where(own > 1, (b - a) / np.maximum(a, b), 0.0)
-                yield pd.DataFrame({"s": s})
-
-    if not 1 < len(set(y.tolist())) < len(y):
+def _cells(points: DataFrame) -> DataFrame:
+    """Unordered pairs of blocks of points (id, features, ...) as groups i, j (i <= j), each row with its side; a
+    block has about BLOCK points, by a hash of the id."""
+    g = max(1, -(-points.count() // BLOCK))
+    p = points.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(g)).cast("int"))
+    left = p.withColumn("j", F.explode(F.sequence("i", F.lit(g - 1)))).withColumn("side", F.lit(0))
+    right = p.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).withColumn("side", F.lit(1))
+    return left.unionByName(right)
+
+
+def _strips(f: pd.DataFrame, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of a cell's rows in f and their distances to the columns: rows, columns, distances, in strips."""
+    x = np.array(f["features"].tolist(), float)
+    sq, ids, side = (x * x).sum(1), f["id"].to_numpy(), f["side"].to_numpy()
+    at, to = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for k in range(0, len(at), step):
+        r = at[k : k + step]
+        d = np.sqrt(np.maximum(sq[r][:, None] + sq[to][None, :] - 2 * x[r] @ x[to].T, 0))
+        d[ids[r][:, None] == ids[to][None, :]] = 0
+        yield r, to, d
+
+
+def silhouette(features: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
+    """Mean silhouette with Euclidean distances, for any number of points: distances of each pair of blocks are
+    summed per point and label in a task of its own; -1 where there is only one cluster or every point is its
+    own."""
+    points = features.select("id", "features").join(labels.select("id", F.col(label).alias("_y")), "id")
+    sizes = points.groupBy("_y").agg(F.count("*").alias("_n"))
+    k, n = sizes.agg(F.count("*"), F.sum("_n")).head()
+    if n is None or not 1 < k < n:
         return features.sparkSession.createDataFrame([(-1.0,)], "silhouette double")
-    spark = features.sparkSession
-    return spark.range(len(ids)).withColumnRenamed("id", "i").mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, same = f["id"].to_numpy(), f["i"].iat[0] == f["j"].iat[0]
+        names, y = np.unique(f["_y"].to_numpy(), return_inverse=True)
+        one, out, back = np.eye(len(names)), [], 0.0
+
+        def rows(at: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"id": np.repeat(ids[at], len(names)), "other": np.tile(names, len(at)), "s": sums.ravel()})
+
+        to = np.flatnonzero(f["side"].to_numpy() == 1)
+        for r, to, d in _strips(f):
+            out.append(rows(r, d @ one[y[to]]))
+            back = back + d.T @ one[y[r]]
+        if not same and len(out) and len(to):
+            out.append(rows(to, back))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "s": []})
+
+    kind = dict(points.dtypes)
+    schema = f"id {kind['id']}, other {kind['_y']}, s double"
+    sums = _cells(points).groupBy("i", "j").applyInPandas(run, schema).groupBy("id", "other").agg(F.sum("s").alias("s"))
+    met = sums.join(sizes.withColumnRenamed("_y", "other"), "other").join(points.select("id", "_y"), "id")
+    own = F.col("other") == F.col("_y")
+    near = met.groupBy("id").agg(
+        F.max(F.when(own, F.col("_n"))).alias("_n"),
+        F.max(F.when(own, F.col("s") / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("a"),
+        F.min(F.when(~own, F.col("s") / F.col("_n"))).alias("b"),
+    )
+    s = F.when(F.col("_n") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
+    return near.agg(F.avg(s).alias("silhouette"))
+
+
+def neighbour_counts(features: DataFrame, eps: float) -> DataFrame:
+    """Points within eps of each point, itself included, for any number of points: id, neighbours."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        ids, same = f["id"].to_numpy(), f["i"].iat[0] == f["j"].iat[0]
+        out, back, to = [], 0, None
+        for r, to, d in _strips(f):
+            near = d <= eps
+            out.append(pd.DataFrame({"id": ids[r], "n": near.sum(1)}))
+            back = back + near.sum(0)
+        if not same and out and len(to):
+            out.append(pd.DataFrame({"id": ids[to], "n": back}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "n": []})
+
+    cells = _cells(features.select("id", "features")).groupBy("i", "j")
+    return cells.applyInPandas(run, f"id {dict(features.dtypes)['id']}, n bigint").groupBy("id").agg(F.sum("n").alias("neighbours"))
 
 
 def permuted(labels: DataFrame, times: int, seed: int) -> DataFrame:

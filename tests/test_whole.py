@@ -1,5 +1,8 @@
 """Operators that once did less than the whole job."""
 
+import numpy as np
+
+from cohortloom.operators import clustering as K
 from cohortloom.operators import features as P
 from cohortloom.operators import series as S
 
@@ -38,3 +41,29 @@ def test_series_keep_signals_apart(spark):
     got = {(r.enc, r.item): (r.median, r.low, r.high) for r in S.signal_stats(s, s, items).collect()}
     none = (None, None, None)
     assert got == {(1, "a"): (2.5, 1.0, 4.0), (1, "b"): (90.0, 90.0, 90.0), (1, "c"): none, (2, "a"): none, (2, "b"): (7.0, 7.0, 7.0), (2, "c"): none}
+
+
+def silhouette_score(x, y):
+    out = []
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own = y == y[i]
+        a, b = d[own].sum() / max(own.sum() - 1, 1), min(d[y == c].mean() for c in set(y.tolist()) - {int(y[i])})
+        out.append((b - a) / max(a, b) if own.sum() > 1 else 0.0)
+    return np.mean(out)
+
+
+def test_silhouette_beyond_the_matrix(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    n = K.MAX_POINTS + 500
+    y = r.integers(0, 4, n)
+    y[0] = 9  # a cluster of one point
+    x = r.normal(size=(n, 3)) + y[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in row], int(c)) for i, (row, c) in enumerate(zip(x, y))], "id bigint, features array<double>, label int")
+    assert abs(K.silhouette(df.select("id", "features"), df.select("id", "label")).head()[0] - silhouette_score(x, y)) < 1e-9
+    near = {a: b for a, b in K.neighbour_counts(df, 0.5).collect()}
+    want = [int((((x - p) ** 2).sum(1) <= 0.25).sum()) for p in x[:50]]
+    assert len(near) == n and [near[i] for i in range(50)] == want
+    some = df.filter("id < 300")
+    monkeypatch.setattr(K, "BLOCK", 7)
+    assert abs(K.silhouette(some.select("id", "features"), some.select("id", "label")).head()[0] - silhouette_score(x[:300], y[:300])) < 1e-9
