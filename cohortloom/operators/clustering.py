@@ -163,25 +163,29 @@ def sweep(features: DataFrame, algorithm: str, ks: list[int] | None = None, **op
     return spark.createDataFrame([(k,) for k in ks], "k int").repartition(parts).mapInPandas(run, _LABELS)
 
 
-def sweep_boots(features: DataFrame, members: DataFrame, algorithm: str, ks: list[int]) -> DataFrame:
+def sweep_boots(features: DataFrame, members: DataFrame, algorithm: str, ks: list[int] | None = None) -> DataFrame:
     """The sweep on every bootstrap: boot_id, clustering_id, k, id, label. members holds boot_id and id; with at
-    most MAX_POINTS points its lists are small. Each bootstrap and k is a task."""
+    most MAX_POINTS points its lists are small. Each bootstrap and k is a task; with hierarchical clustering each
+    bootstrap is, as all k are cuts of one tree. Without ks, the range is that of all points."""
     ids, x = matrix(features)
     at = {i: n for n, i in enumerate(ids.tolist())}
     boots = {r[0]: sorted(at[i] for i in r[1]) for r in members.groupBy("boot_id").agg(F.collect_list("id")).collect()}
     spark = features.sparkSession
     shared = spark.sparkContext.broadcast((ids, x, boots))
+    ks = ks or cluster_range(len(ids))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x, boots = shared.value
         for f in frames:
-            for b, k in zip(f["boot_id"].tolist(), f["k"].tolist()):
+            for b, some in zip(f["boot_id"].tolist(), f["ks"].tolist()):
                 rows = np.array(boots[b])
-                label = cut(centroid_linkage(x[rows]), len(rows), k) if algorithm == "hierarchical" else kmedoids_labels(distances(x[rows]), k)
-                yield pd.DataFrame({"boot_id": b, "clustering_id": f"{algorithm}_{k}", "k": k, "id": ids[rows], "label": label})
+                made = centroid_linkage(x[rows]) if algorithm == "hierarchical" else distances(x[rows])
+                for k in some:
+                    label = cut(made, len(rows), k) if algorithm == "hierarchical" else kmedoids_labels(made, k)
+                    yield pd.DataFrame({"boot_id": b, "clustering_id": f"{algorithm}_{k}", "k": k, "id": ids[rows], "label": label})
 
-    tasks = [(b, k) for b in sorted(boots) for k in ks]
-    return spark.createDataFrame(tasks, "boot_id int, k int").repartition(max(1, len(tasks))).mapInPandas(run, "boot_id int, " + _LABELS)
+    tasks = [(b, s) for b in sorted(boots) for s in ([ks] if algorithm == "hierarchical" else [[k] for k in ks])]
+    return spark.createDataFrame(tasks, "boot_id int, ks array<int>").repartition(max(1, len(tasks))).mapInPandas(run, "boot_id int, " + _LABELS)
 
 
 def kmeans(features: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:

@@ -189,10 +189,13 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_robustness(spark: SparkSession, d: str) -> DataFrame:
-    """k-medoids with 5 and 10 clusters against ten bootstraps of 70 percent."""
+    """k-medoids and hierarchical clustering with every number of clusters of the range, against ten bootstraps
+    of 70 percent."""
     v = vectors(spark, d).select("id", "features")
-    boots = K.sweep_boots(v, bootstraps(v, "id", 10, 0.7, 1), "kmedoids", [5, 10])
-    return K.robustness(K.sweep(v, "kmedoids", [5, 10]).persist(), boots.persist())
+    members = bootstraps(v, "id", 10, 0.7, 1)
+    full = K.sweep(v, "kmedoids").unionByName(K.sweep(v, "hierarchical"))
+    boots = K.sweep_boots(v, members, "kmedoids").unionByName(K.sweep_boots(v, members, "hierarchical"))
+    return K.robustness(full.persist(), boots.persist())
 
 
 @query()

@@ -67,3 +67,26 @@ def test_silhouette_beyond_the_matrix(spark, monkeypatch):
     some = df.filter("id < 300")
     monkeypatch.setattr(K, "BLOCK", 7)
     assert abs(K.silhouette(some.select("id", "features"), some.select("id", "label")).head()[0] - silhouette_score(x[:300], y[:300])) < 1e-9
+
+
+def test_robustness_sweeps_both_algorithms(spark, monkeypatch):
+    import cohortloom.plans.model_plans as Q
+
+    seen = []
+    monkeypatch.setattr(Q.K, "robustness", lambda full, boots: seen.extend([full, boots]))
+    Q.bootstrap_robustness(spark, "/root/testdata/sf0.001")
+    want = {f"{a}_{k}" for a in ("kmedoids", "hierarchical") for k in range(2, 41)}
+    assert {r[0] for r in seen[0].select("clustering_id").distinct().collect()} == want
+    runs = {(r.boot_id, r.clustering_id): r["count"] for r in seen[1].groupBy("boot_id", "clustering_id").count().collect()}
+    assert len(runs) == 10 * len(want) and {c for _, c in runs} == want
+
+
+def test_robustness_of_hierarchical_clusters(spark):
+    r = np.random.default_rng(0)
+    rows = [(i, [float(v) for v in r.normal(size=2) + 20 * (i % 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>")
+    members = spark.createDataFrame([(b, i) for b in range(2) for i in range(90) if (i // 3 + b) % 3], "boot_id int, id bigint")
+    boots = K.sweep_boots(df, members, "hierarchical")
+    assert boots.select("k").distinct().count() == 39
+    got = K.robustness(K.sweep(df, "hierarchical", [3]), boots.filter("k = 3")).collect()
+    assert got and all(x.is_robust and abs(x.actual - 1) < 1e-9 for x in got)
