@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from cohortloom.functions.spread import running_total
 
+#: least gains of the grid of trees.
+GAINS = tuple(2.0**-i for i in range(4, 9))
+
 
 def baseline_matrix(series: DataFrame, items: list[str], static: DataFrame, columns: list[str]) -> DataFrame:
     """Mean of each series beside static columns, one row per encounter; missing cells take the column's
@@ -123,11 +126,11 @@ def padded_batches(series: DataFrame, fill: float, batch: int = 4, most: int = 0
     return frame.join(parts, [*keys, "chunk"], "left").select("batch", *keys, "n", "chunk", F.concat(xs, F.array_repeat(F.lit(float(fill)), (whole - F.size(xs)).cast("int"))).alias("xs"))
 
 
-def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ...] = (6, 10), gains: tuple[float, ...] = (2**-4, 2**-6, 2**-8), least: int = 50) -> DataFrame:
+def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ...] = (6, 10), gains: tuple[float, ...] = GAINS, least: int = 50) -> DataFrame:
     """Decision trees over a grid of depth and least gain; trees that are only a root and repeated trees are
     left out. Gains are those of the node, splits are binned (an approximation the library makes).
     Output: depth, gain, nodes, accuracy, rules."""
-    v = data.select(F.col(label).cast("double").alias("y"), array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")).na.drop()
+    v = data.select(F.col(label).cast("double").alias("y"), array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")).na.drop().persist()
     rows, seen = [], set()
     for depth in depths:
         for gain in gains:
@@ -137,6 +140,7 @@ def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ..
                 seen.add(rules)
                 acc = m.transform(v).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).head()[0]
                 rows.append((depth, gain, m.numNodes, acc, rules))
+    v.unpersist()
     return data.sparkSession.createDataFrame(rows, "depth int, gain double, nodes int, accuracy double, rules string")
 
 

@@ -205,8 +205,11 @@ def metric_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tree_explain(spark: SparkSession, d: str) -> DataFrame:
-    x = vectors(spark, d).select((F.col("label") < 5).alias("y"), *[F.col("features")[i].alias(f"f{i}") for i in range(16)])
-    return P.trees(x, "y", [f"f{i}" for i in range(16)], depths=(6,), gains=(2**-6, 2**-10))
+    """Trees over all feature columns: the whole grid of depths and gains, and a smaller gain beyond it."""
+    v = vectors(spark, d)
+    names = [f"f{i}" for i in range(v.select(F.max(F.size("features"))).head()[0] or 0)]
+    x = v.select((F.col("label") < 5).alias("y"), *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return P.trees(x, "y", names, gains=(*P.GAINS, 2**-10))
 
 
 @query()

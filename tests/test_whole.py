@@ -90,3 +90,18 @@ def test_robustness_of_hierarchical_clusters(spark):
     assert boots.select("k").distinct().count() == 39
     got = K.robustness(K.sweep(df, "hierarchical", [3]), boots.filter("k = 3")).collect()
     assert got and all(x.is_robust and abs(x.actual - 1) < 1e-9 for x in got)
+
+
+def test_trees_see_all_columns_and_the_grid(spark, monkeypatch):
+    import cohortloom.plans.model_plans as Q
+
+    r = np.random.default_rng(0)
+    x = r.random((400, 40))
+    rows = [(i, [float(v) for v in row], 0 if row[37] > 0.5 else 7) for i, row in enumerate(x)]
+    monkeypatch.setattr(Q, "vectors", lambda spark, d: spark.createDataFrame(rows, "id bigint, features array<double>, label int"))
+    asked = []
+    real = P.DecisionTreeClassifier
+    monkeypatch.setattr(P, "DecisionTreeClassifier", lambda **o: asked.append((o["maxDepth"], o["minInfoGain"])) or real(**o))
+    got = Q.tree_explain(spark, "").collect()
+    assert "feature 37" in got[0].rules and got[0].accuracy > 0.95
+    assert {(d, 2.0**-g) for d in (6, 10) for g in range(4, 9)} <= set(asked)
