@@ -382,12 +382,26 @@ def chart_with_static(spark: SparkSession, d: str) -> DataFrame:
     return ev(spark, d).join(s, "enc").select("event_id", "item", "value", "cat", "num")
 
 
+def code_levels(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, DataFrame, list]]:
+    """Kinds of codes: name, codes (enc, code), labels (enc, lab), and the column of each depth. Parts have the
+    levels of their tree, diagnoses and procedures those that a code itself shows: its category, the category
+    with one more digit, and the code."""
+    stays = table(spark, d, "icustays").groupBy(F.col("hadm_id").alias("enc")).agg(F.min("first_careunit").alias("lab")).na.drop()
+    out = [("part", code(spark, d), enc(spark, d).select("enc", F.col("lab").cast("string").alias("lab")), [F.col(c) for c in ("l1", "l2", "code")])]
+    for kind, name, short in (("diagnosis", "diagnoses_icd", 3), ("procedure", "procedures_icd", 2)):
+        c = table(spark, d, name).select(F.col("hadm_id").alias("enc"), F.replace("icd9_code", F.lit("."), F.lit("")).alias("code"))
+        head = F.when(F.col("code").startswith("E"), 4).otherwise(short) if kind == "diagnosis" else F.lit(short)
+        out.append((kind, c, stays, [F.substring("code", F.lit(1), head), F.substring("code", F.lit(1), head + 1), F.col("code")]))
+    return out
+
+
 @query()
 def itemset_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Enriched maximal sets of each cluster at two depths of the code tree, depth as a column."""
-    c, labels, out = code(spark, d), enc(spark, d).select("enc", "lab"), None
-    for depth, level in ((1, "l1"), (2, "l2")):
-        tx = I.transactions(c.select("enc", F.col(level).alias("item"))).join(labels, "enc")
-        e = I.enrichment(tx, I.maximal(I.frequent(tx, 0.02)), "lab").select(F.lit(depth).alias("depth"), "lab", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
-        out = e if out is None else out.unionByName(e)
+    """Enriched maximal sets of each cluster at every depth of each kind of code, kind and depth as columns."""
+    out = None
+    for kind, c, labels, levels in code_levels(spark, d):
+        for depth, level in enumerate(levels, 1):
+            tx = I.transactions(c.select("enc", level.alias("item"))).join(labels, "enc")
+            e = I.enrichment(tx, I.maximal(I.frequent(tx, 0.02)), "lab").select(F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), "lab", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
+            out = e if out is None else out.unionByName(e)
     return out

@@ -105,3 +105,14 @@ def test_trees_see_all_columns_and_the_grid(spark, monkeypatch):
     got = Q.tree_explain(spark, "").collect()
     assert "feature 37" in got[0].rules and got[0].accuracy > 0.95
     assert {(d, 2.0**-g) for d in (6, 10) for g in range(4, 9)} <= set(asked)
+
+
+def test_itemsets_of_every_kind_and_depth(spark):
+    import cohortloom.plans.report_plans as Q
+
+    got = {(r.kind, r.depth) for r in Q.itemset_analysis(spark, "/root/testdata/sf0.001").select("kind", "depth").distinct().collect()}
+    assert got == {(k, n) for k in ("part", "diagnosis", "procedure") for n in (1, 2, 3)}
+    rows = spark.createDataFrame([(1, "428.01"), (1, "E849.0"), (1, "V10.1")], "enc bigint, code string")
+    c = {k: (v, l) for k, v, _, l in Q.code_levels(spark, "/root/testdata/sf0.001")}["diagnosis"]
+    plain = rows.selectExpr("enc", "replace(code, '.', '') as code")
+    assert {tuple(r) for r in plain.select(*[l.alias(f"d{n}") for n, l in enumerate(c[1])]).collect()} == {("428", "4280", "42801"), ("E849", "E8490", "E8490"), ("V10", "V101", "V101")}
