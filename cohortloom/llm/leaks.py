@@ -217,15 +217,18 @@ def clean_text(text: str, automata_: list[SuffixAutomaton], most_covered: float
     raws = list(_WORD.finditer(text))
     leaked: set[int] = set()
     total = 0
+    passes = (False, True) if _DIVIDED.search(text) else (False,)
     for automaton in automata_:
-        words, owner = [], []
-        for k, m in enumerate(raws):
-            for w in words_of(m.group(), automaton.vocabulary):
-                words.append(w)
-                owner.append(k)
-        total = len(words)
-        for i, length, _ in automaton.matches(words):
-            leaked.update(owner[i - length + 1 : i + 1])
+        for split in passes:
+            words, owner = [], []
+            for k, m in enumerate(raws):
+                for w in words_of(m.group(), automaton.vocabulary, split):
+                    words.append(w)
+                    owner.append(k)
+            if not split:
+                total = len(words)
+            for i, length, _ in automaton.matches(words):
+                leaked.update(owner[i - length + 1 : i + 1])
     if not leaked:
         return total or len(raws), 0, text
     if len(leaked) > most_covered * len(raws):
