@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Width of a bin of steps in the natural logarithm, and the bin of no step.
+BIN, NO_STEP = 0.01, -100_000
+
 
 @dataclass(frozen=True)
 class ChartParams:
@@ -31,12 +34,24 @@ class ChartParams:
     warm_up: int = 7
 
 
-def series_scale(x: np.ndarray, least: float) -> float:
-    """Normal movement of a series: the median absolute step between neighbours, as a standard deviation."""
-    if len(x) < 3:
-        return least
-    steps = np.abs(np.diff(x))
-    return max(least, 1.4826 * float(np.median(steps)) / 2**0.5)
+def step_bins(steps: np.ndarray) -> np.ndarray:
+    """Bin of each step by its logarithm, one percent wide; a step of 0 has the lowest bin of all."""
+    with np.errstate(divide="ignore"):
+        return np.maximum(np.floor(np.log(steps) / BIN), NO_STEP).astype(np.int64)
+
+
+def scale_of(bins: np.ndarray, counts: np.ndarray) -> float:
+    """Normal movement of a series, from its steps by bin in order: their median as a standard deviation."""
+    total = np.cumsum(counts)
+    if not len(total) or total[-1] < 2:
+        return 0.0
+    middle = bins[np.searchsorted(total, (total[-1] + 1) // 2)]
+    return 0.0 if middle == NO_STEP else 1.4826 * float(np.exp((middle + 0.5) * BIN)) / 2**0.5
+
+
+def series_scale(x: np.ndarray) -> float:
+    """scale_of the steps between neighbours."""
+    return scale_of(*np.unique(step_bins(np.abs(np.diff(x))), return_counts=True))
 
 
 def deviations(x: np.ndarray, scale: float, least: float, p: ChartParams) -> np.ndarray:
@@ -71,15 +86,18 @@ def runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2], edges[1::2]))
 
 
-def spike_flags(x: np.ndarray, least: float, p: ChartParams) -> np.ndarray:
+def spike_flags(x: np.ndarray, least: float, p: ChartParams, scale: float | None = None) -> np.ndarray:
     """True for readings that stand far from the level before and the level after, at most ``longest`` in a row.
 
     The chart runs in both directions of time: a lasting change of level is far from one side only. A run
     begins with a reading beyond ``limit`` and takes in neighbours on the same side beyond ``lower``; if it
     grows too long by that, only the readings beyond ``limit`` count. At least ``beside`` readings must stand
-    before and after it, else there is no level to compare with.
+    before and after it, else there is no level to compare with. ``scale`` is the normal movement of the series
+    if ``x`` is only a piece of it.
     """
-    scale = series_scale(x, least)
+    if len(x) <= 2 * p.beside:
+        return np.zeros(len(x), bool)
+    scale = max(least, series_scale(x) if scale is None else scale)
     ahead = deviations(x, scale, least, p)
     back = deviations(x[::-1], scale, least, p)[::-1]
     far = np.where(np.sign(ahead) == np.sign(back), np.minimum(np.abs(ahead), np.abs(back)), 0.0)

@@ -57,12 +57,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return empty_runs(*fit(table(spark, d, "chartevents"), table(spark, d, "grid_items"))).select("hadm_id", "itemid", "slot_from", "slot_to")
 
 
+# Fixed values for the monitored items: the bounds a living patient's reading lies in (above the first, up to
+# the second, in the item's unit) and the least movement that counts as one scale.
+LIMITS = [
+    (2101, 0.0, 300.0, 1.0),  # heart rate, bpm
+    (2102, 0.0, 300.0, 1.0),  # mean arterial pressure, mmHg
+    (2103, 0.0, 110.0, 0.3),  # respiratory rate, insp/min
+    (2104, 0.0, 100.0, 0.15),  # oxygen saturation, %
+    (2105, 20.0, 45.0, 0.05),  # core temperature, deg C
+    (2106, 0.0, 2000.0, 2.0),  # blood glucose, mg/dL
+]
+
+
+def limits(spark: SparkSession) -> DataFrame:
+    """Limits of the monitored items, a table that the caller of the operator gives."""
+    return spark.createDataFrame(LIMITS, "itemid bigint, low double, high double, least double")
+
+
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
-    return flag_rows(table(spark, d, "chartevents"), table(spark, d, "grid_items")).select("row_id", "hadm_id", "itemid", "x", "reason")
+    return flag_rows(table(spark, d, "chartevents"), table(spark, d, "grid_items"), limits(spark)).select("row_id", "hadm_id", "itemid", "x", "reason")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return flag_rows(table(spark, d, "chartevents"), table(spark, d, "grid_items")).select("row_id")
+    return flag_rows(table(spark, d, "chartevents"), table(spark, d, "grid_items"), limits(spark)).select("row_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

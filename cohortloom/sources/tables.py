@@ -50,11 +50,14 @@ def reading(valuenum: Column | str = "valuenum", value: Column | str = "value")
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for tables that cut the lineage, inside the folder that spark.checkpoint.dir names.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used instead. The folder
-    goes when the session's JVM ends; tables that are to stay belong into a folder that the caller names.
+    Only where that setting is absent and the master is local (tests on one machine) a temporary folder is
+    used instead; on a cluster its absence is an error, as executors would not find each other's files. The
+    folder goes when the session's JVM ends; tables that are to stay belong into a folder that the caller names.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cohortloom-")
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/cohortloom-{os.getpid()}-{uuid.uuid4().hex[:12]}"

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortloom.operators.chart import ChartParams, frozen_flags, spike_flags
-from cohortloom.operators.spikes import SHARD_S, flag_rows
+from cohortloom.operators.spikes import flag_readings, flag_rows, limit_table
+from cohortloom.plans.training_data import LIMITS, limits
 
 P = ChartParams()
 T0 = dt.datetime(2101, 1, 1)
@@ -42,7 +43,7 @@ def rows_of(xs, hadm=1, item=2101, start=0, first=0):
 def flags(spark, rows):
     e = spark.createDataFrame([(*r, "a", "b", 1, 2) for r in rows], EVENTS)
     items = spark.createDataFrame([(2101,), (2105,), (None,), (2101,)], "itemid bigint")
-    got = [(r.row_id, r.reason) for r in flag_rows(e, items).collect()]
+    got = [(r.row_id, r.reason) for r in flag_rows(e, items, limits(spark)).collect()]
     assert len(got) == len(set(got)) or any(r[0] is None for r in got)
     return dict(got)
 
@@ -57,17 +58,75 @@ def test_rows(spark):
     assert flags(spark, []) == {}
 
 
-def test_shards_change_nothing(spark):
-    """A series that crosses shard edges is flagged as it would be alone, copies or not."""
-    base = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
-    start = (SHARD_S - base % SHARD_S) // 60 - 30 * 100
+def charted_whole(series):
+    """Brute force: every series charted in one piece, in plain Python."""
+    bounds = {i: (lo, hi, least) for i, lo, hi, least in LIMITS}
+    out = set()
+    for (hadm, item), points in series.items():
+        points = sorted(set(points))
+        t, x = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+        low, high, least = bounds[item]
+        good = np.flatnonzero((x > low) & (x <= high))
+        bad = set(range(len(x))) - set(good.tolist())
+        frozen = set(np.flatnonzero(frozen_flags(t, x, P)).tolist())
+        spikes = set(good[spike_flags(x[good], least, P)].tolist())
+        for i in bad | frozen | spikes:
+            out.add((hadm, item, int(t[i]), float(x[i]), "impossible" if i in bad else "spike" if i in spikes else "frozen"))
+    return out
+
+
+def planted(seed, n, step):
+    """A course with a lasting change, spikes, frozen stretches, impossible values and copies."""
+    r = np.random.default_rng(seed)
+    x = wave(n, seed)
+    x[n // 2 :] += 30
+    for i in r.choice(n - 40, n // 25, replace=False) + 20:
+        x[i : i + r.integers(1, 4)] += r.choice([-50, 60, 75])
+    for i in r.choice(n - 40, n // 60, replace=False) + 20:
+        x[i : i + r.integers(6, 11)] = 91
+    for i in r.choice(n - 40, n // 80, replace=False) + 20:
+        x[i] = r.choice([0, -5, 999])
+    t = 4_000_000_000 + np.arange(n) * step + r.integers(0, step // 4, n)
+    points = [(int(a), float(b)) for a, b in zip(t, x)]
+    return points + points[::17]
+
+
+def test_pieces_change_nothing(spark):
+    """Flags are those of the whole series wherever it is cut: half-hourly, daily and weekly readings."""
+    series = {(1, 2101): planted(1, 900, 1800), (2, 2101): planted(2, 700, 86_400), (3, 2101): planted(3, 500, 7 * 86_400), (4, 2101): planted(4, 60, 1800), (1, 2105): [(t, 37.0) for t in range(0, 600, 60)]}
+    want = charted_whole(series)
+    reasons = [r for *_, r in want]
+    assert min(reasons.count(r) for r in ("spike", "frozen", "impossible")) > 20
+    rows = [(h, i, t, x) for (h, i), points in series.items() for t, x in points]
+    readings = spark.createDataFrame(rows, "hadm_id bigint, itemid bigint, t bigint, x double")
+    for piece, warm in ((1 << 17, 2048), (200, 150), (173, 170)):
+        got = [tuple(r) for r in flag_readings(readings, limits(spark), P, piece, warm).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_frozen_over_a_cut(spark):
+    """Eight equal daily readings are frozen wherever a piece ends among them."""
+    x = wave(60, 9)
+    for at in range(12, 21):
+        y = x.copy()
+        y[at : at + 8] = 77
+        readings = spark.createDataFrame([(1, 2101, 86_400 * k, float(v)) for k, v in enumerate(y)], "hadm_id bigint, itemid bigint, t bigint, x double")
+        got = {r.t // 86_400 for r in flag_readings(readings, limits(spark), P, 20, 20).collect() if r.reason == "frozen"}
+        assert got >= set(range(at, at + 8))
+
+
+def test_copies_and_no_items(spark):
     x = wave(200, 5)
     for i in (20, 97, 103, 180):
         x[i] += 60
     x[140:152] = 90
-    rows = rows_of(x, start=start)
+    rows = rows_of(x)
     want = {20: "spike", 97: "spike", 103: "spike", 180: "spike", **{i: "frozen" for i in range(140, 152)}}
-    got = flags(spark, rows)
-    assert got == want
+    assert flags(spark, rows) == want
     assert flags(spark, rows + [(5000 + i, *rows[97][1:]) for i in range(500)]) == {**want, **{5000 + i: "spike" for i in range(500)}}
-    assert flag_rows(spark.createDataFrame([(*r, "a", "b", 1, 2) for r in rows], EVENTS), spark.createDataFrame([], "itemid bigint")).filter(F.lit(True)).count() == 0
+    assert flag_rows(spark.createDataFrame([(*r, "a", "b", 1, 2) for r in rows], EVENTS), spark.createDataFrame([], "itemid bigint")).count() == 0
+
+
+def test_limits(spark):
+    t = spark.createDataFrame([(1, 0.0, 10.0, 1.0), (1, 2.0, None, None), (2, None, 5.0, None), (None, 1.0, 2.0, 3.0)], "itemid bigint, low double, high double, least double")
+    assert limit_table(t) == {1: (2.0, 10.0, 1.0), 2: (-np.inf, 5.0, 0.0)} and limit_table(None) == {}
