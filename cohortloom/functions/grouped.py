@@ -51,7 +51,7 @@ def map_groups(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    work: Callable[[pa.Table], pa.RecordBatch | pa.Table | None],
+    work: Callable[[pa.Table], pa.RecordBatch | pa.Table | Iterator[pa.RecordBatch] | None],
     schema: str,
     rows: int = 65_536,
 ) -> DataFrame:
@@ -63,7 +63,11 @@ def map_groups(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, keys, rows):
             out = work(t)
-            if out is not None and out.num_rows:
-                yield from (out.to_batches(max_chunksize=65_536) if isinstance(out, pa.Table) else [out])
+            if isinstance(out, pa.Table):
+                yield from out.to_batches(max_chunksize=65_536)
+            elif isinstance(out, pa.RecordBatch):
+                yield out
+            elif out is not None:
+                yield from out
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -1,11 +1,12 @@
 """Irregular readings onto a regular grid (problem 5).
 
-Readings are averaged per slot with a map-side combine. A series is cut into segments of SEGMENT slots; a
-segment is a row of its item's source-by-time matrix, the slot's place in the segment its column. The matrix
-is factorised with low rank by alternating least squares: the row step is local to each segment, the column
-step needs only sums over rows, one small matrix for each item and column, added up across all tasks. Column
-factors therefore come from all data and have a fixed size. Observed cells stay exact, empty cells of a
-supported row are filled, all other cells stay marked.
+Readings are averaged per slot with a map-side combine. Time of a series is counted in slots from its first
+filled one and cut into blocks of BLOCK slots, which all sources of an item share: the readings of an item in
+a block of time are a source-by-time matrix, one row for a source, one column for a slot. (Columns of calendar
+time would hold one source each, as de-identified dates do not meet.) Matrices of more than PANEL sources are
+split by a hash of the source. Each matrix is factorised in one task with low rank by alternating least
+squares. Observed cells stay exact; an empty cell is filled if its row and its column have enough readings;
+all other cells stay marked.
 """
 
 from __future__ import annotations
@@ -18,10 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortloom.functions.grouped import change_points, map_groups
 from cohortloom.sources.tables import epoch_s, reading, shared_folder
 
-#: Slots of a segment, rank, weight of the ridge, rounds, and the readings a row needs to be filled.
-SEGMENT, RANK, RIDGE, ROUNDS, SUPPORT = 32, 2, 0.5, 3, 4
+#: Slots of a block, and sources of a panel on average at most.
+BLOCK, PANEL = 32, 4096
+#: Rank, weight of the ridge, rounds, the readings that a row needs to be filled and those of a column.
+RANK, RIDGE, ROUNDS, SUPPORT, SOURCES = 2, 0.5, 5, 4, 3
+#: Empty slots of a gap between blocks that leave a task at a time.
+SLICE = 1 << 16
+
+_STATES = np.array(["observed", "filled", "marked"], object)
+_NONE = np.iinfo(np.int64).min
 
 
 def slots(chartevents: DataFrame, grid_items: DataFrame) -> DataFrame:
@@ -41,188 +50,152 @@ def slots(chartevents: DataFrame, grid_items: DataFrame) -> DataFrame:
     )
 
 
-def segments(filled: DataFrame) -> DataFrame:
-    """Matrix rows: hadm_id, itemid, seg, cells (array of column and value, in order), and from the series
-    before_slot and next_slot: the last filled slot before the segment and the first one after it.
+def matrix_rows(filled: DataFrame) -> DataFrame:
+    """Rows of the matrices: hadm_id, itemid, block, start (the series' first slot), c and x (columns and values
+    in order), and from the series before_slot and next_slot: the last filled slot before the block and the
+    first one after it. ``filled`` is read twice.
 
-    A row holds at most SEGMENT cells; the window passes once over the segments of a series.
+    A row holds at most BLOCK cells; the window passes once over the blocks of a series.
     """
-    w = Window.partitionBy("hadm_id", "itemid").orderBy("seg")
+    starts = filled.groupBy("hadm_id", "itemid").agg(F.min("slot").alias("start"))
+    w = Window.partitionBy("hadm_id", "itemid").orderBy("block")
+    away = F.col("slot") - F.col("start")
     return (
-        filled.groupBy("hadm_id", "itemid", F.floor(F.col("slot") / SEGMENT).alias("seg"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.pmod("slot", F.lit(SEGMENT)).cast("int").alias("c"), "x"))).alias("cells"))
-        .withColumn("first_slot", F.col("seg") * SEGMENT + F.element_at("cells", 1)["c"])
-        .withColumn("last_slot", F.col("seg") * SEGMENT + F.element_at("cells", -1)["c"])
-        .withColumn("before_slot", F.lag("last_slot").over(w))
-        .withColumn("next_slot", F.lead("first_slot").over(w))
-        .select("hadm_id", "itemid", "seg", F.col("cells.c").alias("c"), F.col("cells.x").alias("x"), "before_slot", "next_slot")
+        filled.join(starts, ["hadm_id", "itemid"])
+        .groupBy("hadm_id", "itemid", F.floor(away / BLOCK).alias("block"), "start")
+        .agg(F.sort_array(F.collect_list(F.struct(F.pmod(away, F.lit(BLOCK)).cast("int").alias("c"), "x"))).alias("cells"))
+        .withColumn("base", F.col("start") + F.col("block") * BLOCK)
+        .withColumn("before_slot", F.lag(F.col("base") + F.element_at("cells", -1)["c"]).over(w))
+        .withColumn("next_slot", F.lead(F.col("base") + F.element_at("cells", 1)["c"]).over(w))
+        .select("hadm_id", "itemid", "block", "start", F.col("cells.c").alias("c"), F.col("cells.x").alias("x"), "before_slot", "next_slot")
     )
 
 
-def _dense(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Values and presence of a batch of matrix rows."""
-    lists = b.column("c")
+def _dense(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Values and presence of a table of matrix rows."""
+    lists = t.column("c").combine_chunks()
     n = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(n)), n)
     col = lists.flatten().to_numpy().astype(np.int64)
-    x, seen = np.zeros((len(n), SEGMENT)), np.zeros((len(n), SEGMENT), bool)
-    x[row, col] = b.column("x").flatten().to_numpy()
+    x, seen = np.zeros((len(n), BLOCK)), np.zeros((len(n), BLOCK), bool)
+    x[row, col] = t.column("x").combine_chunks().flatten().to_numpy()
     seen[row, col] = True
     return x, seen
 
 
-def _rows(x: np.ndarray, seen: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row step: mean, scale and factors of each row, given the item's column factors for each row."""
+def _rows(x: np.ndarray, seen: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row step: mean, scale and factors of each row, given the column factors."""
     n = np.maximum(seen.sum(1), 1)
     mean = (x * seen).sum(1) / n
     z = (x - mean[:, None]) * seen
     scale = np.sqrt((z**2).sum(1) / n) + 1e-9
     z /= scale[:, None]
-    v = basis * seen[:, :, None]
-    a = np.einsum("rci,rcj->rij", v, v) + RIDGE * np.eye(basis.shape[2])
-    u = np.linalg.solve(a, np.einsum("rci,rc->ri", v, z)[:, :, None])[:, :, 0]
-    return mean, scale, u
-
-
-def _basis(start: dict[int, np.ndarray], item: np.ndarray) -> np.ndarray:
-    ids, inverse = np.unique(item, return_inverse=True)
-    return np.stack([start[int(i)] for i in ids])[inverse]
+    outer = (columns[:, :, None] * columns[:, None, :]).reshape(BLOCK, -1)
+    a = (seen.astype(float) @ outer).reshape(len(x), RANK, RANK) + RIDGE * np.eye(RANK)
+    return mean, scale, np.linalg.solve(a, (z @ columns)[:, :, None])[:, :, 0]
 
 
 def starting_factors() -> np.ndarray:
-    """Column factors to begin with: the first waves over a segment."""
-    c = (np.arange(SEGMENT) + 0.5) / SEGMENT
+    """Column factors to begin with: the first waves over a block."""
+    c = (np.arange(BLOCK) + 0.5) / BLOCK
     return np.stack([np.cos(np.pi * (k + 1) * c) for k in range(RANK)], axis=1)
 
 
-def column_factors(rows: DataFrame, items: list[int], rounds: int = ROUNDS) -> dict[int, np.ndarray]:
-    """Column factors of each item by alternating least squares over all matrix rows.
-
-    Each round every task sends, for each item and column, a RANK x RANK matrix and a vector: their size does
-    not depend on the number of rows. ``rows`` is read once a round; cut its lineage before.
-    """
-    factors = {i: starting_factors() for i in items}
-    entry = [f"s{k}" for k in range(RANK * RANK + RANK)]
-    for _ in range(rounds if items else 0):
-        now = dict(factors)
-
-        def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                item = b.column("itemid").to_numpy()
-                x, seen = _dense(b)
-                mean, scale, u = _rows(x, seen, _basis(now, item))
-                z = (x - mean[:, None]) / scale[:, None] * seen
-                outer = (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)
-                for i in np.unique(item).tolist():
-                    at = (item == i) & (seen.sum(1) >= SUPPORT)
-                    s = seen[at].astype(float)
-                    sums = np.concatenate([s.T @ outer[at], z[at].T @ u[at]], axis=1)
-                    total[i] = total.get(i, 0) + sums
-            for i, sums in total.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i] * SEGMENT), pa.array(range(SEGMENT), pa.int64()), *(pa.array(sums[:, k]) for k in range(sums.shape[1]))], ["itemid", "col", *entry])
-
-        schema = "itemid bigint, col bigint, " + ", ".join(f"{e} double" for e in entry)
-        for r in rows.mapInArrow(step, schema).groupBy("itemid", "col").agg(*(F.sum(e).alias(e) for e in entry)).collect():
-            s = np.array(r[2:])
-            a = s[: RANK * RANK].reshape(RANK, RANK) + RIDGE * np.eye(RANK)
-            factors[r[0]][r[1]] = np.linalg.solve(a, s[RANK * RANK :])
-        for v in factors.values():  # the scale between rows and columns is free: columns have unit mean square
-            v /= np.sqrt((v**2).mean(0)) + 1e-9
-    return factors
-
-
-def _spans(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots that a segment answers for: from the series' first (or the segment's) to its last (or the
-    segment's); and the slot before the segment that is filled, or -1 beyond all slots."""
-    seg = b.column("seg").to_numpy()
-    none = np.iinfo(np.int64).min
-    before = b.column("before_slot").fill_null(none).to_numpy()
-    after = b.column("next_slot").fill_null(none).to_numpy()
-    return seg, before, after
-
-
-def regular_series(rows: DataFrame, factors: dict[int, np.ndarray]) -> DataFrame:
-    """The grid: hadm_id, itemid, slot, x, state, one row for each slot between a series' first and last.
-
-    state is 'observed' (x exact), 'filled' (x from the factors) or 'marked' (x null: the segment has fewer
-    than SUPPORT readings, or none).
-    """
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
-                x, seen, fill, ok = _filled(part, factors)
-                seg, before, after = _spans(part)
-                none = np.iinfo(np.int64).min
-                base = seg * SEGMENT
-                place = np.arange(SEGMENT)
-                first, last = seen.argmax(1), SEGMENT - 1 - seen[:, ::-1].argmax(1)
-                inside = ((place >= first[:, None]) | (before > none)[:, None]) & ((place <= last[:, None]) | (after > none)[:, None])
-                r, c = np.nonzero(inside)
-                state = np.where(seen[r, c], 0, np.where(ok[r], 1, 2))
-                value = np.where(state == 0, x[r, c], np.where(state == 1, fill[r, c], np.nan))
-                slot = base[r] + c
-                # Whole segments without a reading, between the filled slot before and this segment.
-                gap_from = (before // SEGMENT + 1) * SEGMENT
-                n = np.where(before > none, np.maximum(base - gap_from, 0), 0)
-                g = np.repeat(np.arange(len(n)), n)
-                empty = gap_from[g] + np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-                at = np.concatenate([r, g])
-                names = np.array(["observed", "filled", "marked"], object)[np.concatenate([state, np.full(len(g), 2)])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("hadm_id").take(pa.array(at)), part.column("itemid").take(pa.array(at)), pa.array(np.concatenate([slot, empty])), pa.array(np.concatenate([value, np.full(len(g), np.nan)]), from_pandas=True), pa.array(names, pa.string())],
-                    ["hadm_id", "itemid", "slot", "x", "state"],
-                )
-
-    return rows.mapInArrow(emit, "hadm_id bigint, itemid bigint, slot bigint, x double, state string")
-
-
-def _filled(b: pa.RecordBatch, factors: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    x, seen = _dense(b)
-    basis = _basis(factors, b.column("itemid").to_numpy())
-    mean, scale, u = _rows(x, seen, basis)
-    fill = mean[:, None] + scale[:, None] * np.einsum("rci,ri->rc", basis, u)
+def column_factors(x: np.ndarray, seen: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Column factors of one matrix by alternating least squares. A column that fewer than SOURCES rows with
+    SUPPORT readings have filled gets none (zeros)."""
+    good = seen.sum(1) >= SUPPORT
+    x, seen = x[good], seen[good]
+    told = seen.sum(0) >= SOURCES
+    columns = starting_factors() * told[:, None]
+    for _ in range(rounds if told.any() else 0):
+        mean, scale, u = _rows(x, seen, columns)
+        z = (x - mean[:, None]) / scale[:, None] * seen
+        outer = (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)
+        a = (seen.T.astype(float) @ outer).reshape(BLOCK, RANK, RANK) + RIDGE * np.eye(RANK)
+        columns = np.linalg.solve(a, (z.T @ u)[:, :, None])[:, :, 0] * told[:, None]
+        columns /= np.sqrt((columns**2).mean(0)) + 1e-9  # the scale between rows and columns is free
+    return columns
+
+
+def completed(x: np.ndarray, seen: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and states (0 observed, 1 filled, 2 marked) of all cells of a matrix, given its column factors.
+    A filled value stays between the least and the largest reading of its row."""
+    mean, scale, u = _rows(x, seen, columns)
     low, high = np.where(seen, x, np.inf).min(1), np.where(seen, x, -np.inf).max(1)
-    return x, seen, np.clip(fill, low[:, None], high[:, None]), seen.sum(1) >= SUPPORT
+    fill = np.clip(mean[:, None] + scale[:, None] * (u @ columns.T), low[:, None], high[:, None])
+    can = (seen.sum(1) >= SUPPORT)[:, None] & (columns**2).any(1)[None, :]
+    state = np.where(seen, 0, np.where(can, 1, 2))
+    return np.where(seen, x, np.where(can, fill, np.nan)), state
 
 
-def empty_runs(rows: DataFrame, factors: dict[int, np.ndarray]) -> DataFrame:
-    """Longest runs of empty slots between two filled slots: hadm_id, itemid, slot_from, slot_to, n_filled.
+def regular_series(rows: DataFrame, factorise=column_factors) -> DataFrame:
+    """The grid: hadm_id, itemid, slot, x, state, one row for each slot between a series' first and last.
 
-    n_filled is how many of the run's slots in the segment of its end are filled by the factors.
+    state is 'observed' (x exact), 'filled' (x from the factors) or 'marked' (x null: too few readings in the
+    row or the column, or none in the block). ``rows`` is read twice, for the number of panels too.
     """
+    panels = rows.groupBy("itemid", "block").agg(F.ceil(F.count("*") / PANEL).alias("panels"))
+    keyed = rows.join(panels, ["itemid", "block"]).withColumn("panel", F.pmod(F.xxhash64("hadm_id"), F.col("panels"))).drop("panels")
+
+    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        hadm, item, block, panel, start = (t.column(c).to_numpy() for c in ("hadm_id", "itemid", "block", "panel", "start"))
+        before = t.column("before_slot").fill_null(_NONE).to_numpy()
+        after = t.column("next_slot").fill_null(_NONE).to_numpy()
+        x, seen = _dense(t)
+        cuts = [*change_points([item, block, panel]).tolist(), len(item)]
+        base = start + block * BLOCK
+        place = np.arange(BLOCK)
+        last = BLOCK - 1 - seen[:, ::-1].argmax(1)
+        inside = (place <= last[:, None]) | (after > _NONE)[:, None]  # a series' first block begins with a reading
+        for a, b in zip(cuts, cuts[1:]):
+            columns = factorise(x[a:b], seen[a:b])
+            value, state = completed(x[a:b], seen[a:b], columns)
+            r, c = np.nonzero(inside[a:b])
+            yield _cells(hadm[a + r], item[a + r], base[a + r] + c, value[r, c], state[r, c])
+        # Whole blocks without a reading, between the filled slot before and this block, in slices.
+        gap_from = start + ((before - start) // BLOCK + 1) * BLOCK
+        n = np.where(before > _NONE, np.maximum(base - gap_from, 0), 0)
+        parts = -(-n // SLICE)
+        row = np.repeat(np.arange(len(n)), parts)
+        at = gap_from[row] + SLICE * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        size = np.minimum(SLICE, base[row] - at)
+        for k in range(0, len(row), 16):
+            i, s = np.repeat(row[k : k + 16], size[k : k + 16]), size[k : k + 16]
+            slot = np.repeat(at[k : k + 16], s) + np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
+            yield _cells(hadm[i], item[i], slot, np.full(len(i), np.nan), np.full(len(i), 2))
+
+    return map_groups(keyed, ["itemid", "block", "panel"], [], emit, "hadm_id bigint, itemid bigint, slot bigint, x double, state string")
+
+
+def _cells(hadm: np.ndarray, item: np.ndarray, slot: np.ndarray, x: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hadm), pa.array(item), pa.array(slot), pa.array(x, from_pandas=True), pa.array(_STATES[state], pa.string())], ["hadm_id", "itemid", "slot", "x", "state"])
+
+
+def empty_runs(series: DataFrame) -> DataFrame:
+    """Longest runs of slots without a reading in the series that regular_series gives: hadm_id, itemid,
+    slot_from, slot_to, n_filled (slots of the run that the factors fill).
+
+    Runs are found in stretches of BLOCK slots first; a window over the runs of a series joins those that touch.
+    """
+    stretch = ["hadm_id", "itemid", "stretch"]
+    cut = series.filter("state <> 'observed'").withColumn("stretch", F.floor(F.col("slot") / BLOCK))
+    pieces = (
+        cut.withColumn("island", F.col("slot") - F.row_number().over(Window.partitionBy(*stretch).orderBy("slot")))
+        .groupBy(*stretch, "island")
+        .agg(F.min("slot").alias("a"), F.max("slot").alias("z"), F.count(F.when(F.col("state") == "filled", 1)).alias("n"))
+    )
+    w = Window.partitionBy("hadm_id", "itemid").orderBy("a")
+    new = F.when(F.col("a") == F.lag("z").over(w) + 1, 0).otherwise(1)
+    numbered = pieces.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    return numbered.groupBy("hadm_id", "itemid", "run").agg(F.min("a").alias("slot_from"), F.max("z").alias("slot_to"), F.sum("n").alias("n_filled")).drop("run")
+
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.iinfo(np.int64).min
-        for b in batches:
-            if not b.num_rows:
-                continue
-            _, seen, _, ok = _filled(b, factors)
-            seg, before, _ = _spans(b)
-            r, c = np.nonzero(seen)
-            slot = seg[r] * SEGMENT + c
-            head = np.concatenate(([True], r[1:] != r[:-1]))
-            last = np.where(head, before[r], np.append(0, slot[:-1]))
-            gap = (last > none) & (slot - last > 1)
-            r, a, z = r[gap], last[gap] + 1, slot[gap] - 1
-            filled = np.where(ok[r], z + 1 - np.maximum(a, seg[r] * SEGMENT), 0)
-            yield pa.RecordBatch.from_arrays([b.column("hadm_id").take(pa.array(r)), b.column("itemid").take(pa.array(r)), pa.array(a), pa.array(z), pa.array(filled)], ["hadm_id", "itemid", "slot_from", "slot_to", "n_filled"])
-
-    return rows.mapInArrow(emit, "hadm_id bigint, itemid bigint, slot_from bigint, slot_to bigint, n_filled bigint")
-
-
-def fit(chartevents: DataFrame, grid_items: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """Matrix rows, written once into the shared folder, and the fitted column factors. grid_items is small
-    by nature (a list of monitored items) and its size is checked."""
+def fit(chartevents: DataFrame, grid_items: DataFrame) -> DataFrame:
+    """Matrix rows of the readings, from tables written into the shared folder, so that ``chartevents`` is
+    scanned once and neither the slots nor the rows are made twice."""
     spark = chartevents.sparkSession
-    items = [r[0] for r in grid_items.select("itemid").na.drop().distinct().limit(1001).collect()]
-    if len(items) > 1000:
-        raise ValueError("more than 1000 grid items: fit them in several calls")
-    path = f"{shared_folder(spark)}/segments"
-    segments(slots(chartevents, grid_items)).write.parquet(path)
-    rows = spark.read.parquet(path)
-    return rows, column_factors(rows, items)
+    folder = shared_folder(spark)
+    slots(chartevents, grid_items).write.parquet(f"{folder}/slots")
+    matrix_rows(spark.read.parquet(f"{folder}/slots")).write.parquet(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows")

@@ -49,12 +49,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
-    s = regular_series(*fit(table(spark, d, "chartevents"), table(spark, d, "grid_items")))
-    return s.withColumn("x", F.round("x", 6))
+    return regular_series(fit(table(spark, d, "chartevents"), table(spark, d, "grid_items"))).withColumn("x", F.round("x", 6))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return empty_runs(*fit(table(spark, d, "chartevents"), table(spark, d, "grid_items"))).select("hadm_id", "itemid", "slot_from", "slot_to")
+    series = regular_series(fit(table(spark, d, "chartevents"), table(spark, d, "grid_items")))
+    return empty_runs(series).select("hadm_id", "itemid", "slot_from", "slot_to")
 
 
 # Fixed values for the monitored items: the bounds a living patient's reading lies in (above the first, up to
