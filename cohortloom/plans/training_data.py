@@ -11,7 +11,7 @@ from cohortloom.operators.intervals import periods_and_gaps, stay_intervals
 from cohortloom.operators.regular import empty_runs, fit, regular_series
 from cohortloom.operators.spikes import flag_rows
 from cohortloom.operators.units import weights_in_kg
-from cohortloom.operators.wide import cells, differing_cells, item_types, wide_table
+from cohortloom.operators.wide import cell_values, differing_cells, item_types, number_cells, wide_table
 from cohortloom.sources.tables import table
 
 
@@ -29,23 +29,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return w.filter("unit <> field_unit").select("row_id", "unit")
 
 
-def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, d, "chartevents")
     types = item_types(events, table(spark, d, "d_items"), table(spark, d, "static_fields"))
-    return cells(events, types), types
+    return cell_values(events, types), types
 
 
 def p3_cells(spark: SparkSession, d: str) -> DataFrame:
-    c, _ = _cells(spark, d)
-    return c.filter("number is not null").select("hadm_id", "itemid", F.unix_seconds(F.col("charttime").cast("timestamp")).alias("charttime_s"), F.round("number", 6).alias("number"), "differs")
+    return number_cells(*_values(spark, d)).withColumn("number", F.round("number", 6))
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide_table(*_cells(spark, d))
+    return wide_table(*_values(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return differing_cells(*_cells(spark, d))
+    return differing_cells(*_values(spark, d))
 
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
