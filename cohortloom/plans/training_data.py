@@ -40,7 +40,8 @@ def p3_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide_table(*_values(spark, d))
+    w = wide_table(*_values(spark, d))
+    return w.select(*[F.round(c, 6).alias(c) if c.startswith("n_") else F.col(c) for c in w.columns if c != "differing"], F.array_join(F.col("differing").cast("array<string>"), ",").alias("differing"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,9 +99,18 @@ typed as (
   from own o left join d_items d on d.itemid = o.itemid
   where o.itemid not in (select itemid from static_fields)),
 readings as (
-  select c.hadm_id, c.itemid, cast(floor(epoch(c.charttime)) as bigint) as charttime_s, t.is_text, {_NUMBER} as x, lower(trim(value)) as w
+  select c.row_id, c.hadm_id, c.itemid, cast(floor(epoch(c.charttime)) as bigint) as charttime_s, t.is_text, {_NUMBER} as x, lower(trim(value)) as w
   from chartevents c join typed t on t.itemid = c.itemid where c.hadm_id is not null and c.charttime is not null)"""
 
+_AGREED = f"""with {_TYPED},
+cells as (
+  select r.hadm_id, c.charttime, r.itemid, r.is_text, r.x, r.w, c.storetime from readings r join chartevents c on c.row_id = r.row_id
+  where case when r.is_text then r.w <> '' else r.x is not null end)
+select hadm_id, charttime, case when is_text then 't_' else 'n_' end || itemid as name, itemid, is_text,
+  round(case when min(x) = max(x) then min(x) else avg(x) end, 6) as number, arg_max(w, struct_pack(s := storetime, w := w)) as word,
+  case when is_text then count(distinct w) else count(distinct x) end > 1 as differs
+from cells group by hadm_id, charttime, itemid, is_text"""
+
 ORACLE: dict[str, str] = {
     "p1_found": """
 with given as (
@@ -124,6 +134,10 @@ select hadm_id, itemid, charttime_s from readings
 where case when is_text then w <> '' else x is not null end
 group by hadm_id, itemid, charttime_s
 having count(distinct case when is_text then w else cast(x as varchar) end) > 1""",
+    "p3_wide": f"""
+select * from (select hadm_id, charttime, coalesce(string_agg(case when differs then cast(itemid as varchar) end, ',' order by itemid), '') as differing from ({_AGREED}) group by all)
+left join (pivot (select hadm_id, charttime, name, number from ({_AGREED}) where not is_text) on name using first(number) group by hadm_id, charttime) using (hadm_id, charttime)
+left join (pivot (select hadm_id, charttime, name, word from ({_AGREED}) where is_text) on name using first(word) group by hadm_id, charttime) using (hadm_id, charttime)""",
     "p3_cells": f"""
 with {_TYPED}
 select hadm_id, itemid, charttime_s, round(case when min(x) = max(x) then min(x) else avg(x) end, 6) as number, min(x) < max(x) as differs
