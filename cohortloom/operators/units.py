@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.grouped import change_points, map_groups
 from cohortloom.operators.unitscan import KG_OF, build, scan
-from cohortloom.sources.tables import reading
+from cohortloom.sources.tables import reading, shared_folder
 
 #: Width of a histogram bin in the natural logarithm of kilograms, and the bins on each side that agree.
 BIN, REACH = 0.02, 9
@@ -42,16 +42,15 @@ def named_units(rows: DataFrame) -> DataFrame:
         automaton = build()
         for b in batches:
             numbers = b.column("number").to_numpy(zero_copy_only=False).copy()
-            memo: dict[str | None, tuple[str | None, float | None]] = {}
-            in_value = []
-            for i, text in enumerate(b.column("value").to_pylist()):
-                if text not in memo:
-                    memo[text] = scan(text, automaton)
-                unit, whole = memo[text]
-                in_value.append(unit)
+            found = []
+            for name in ("value", "valueuom"):
+                coded = b.column(name).dictionary_encode()  # every text of a batch is scanned once
+                hits = [*(scan(text, automaton) for text in coded.dictionary.to_pylist()), (None, None)]
+                found.append([hits[k] for k in coded.indices.fill_null(len(hits) - 1).to_pylist()])
+            for i, (_, whole) in enumerate(found[0]):
                 if whole is not None:
                     numbers[i] = whole
-            in_uom = [scan(text, automaton)[0] for text in b.column("valueuom").to_pylist()]
+            in_value, in_uom = ([unit for unit, _ in f] for f in found)
             keep = [b.column(c) for c in ("row_id", "hadm_id", "itemid", "field_unit")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(numbers, from_pandas=True), pa.array(in_value, pa.string()), pa.array(in_uom, pa.string())], ["row_id", "hadm_id", "itemid", "field_unit", "number", "in_value", "in_uom"])
 
@@ -64,7 +63,11 @@ def factors(df: DataFrame) -> DataFrame:
 
 
 def encounter_weights(found: DataFrame) -> DataFrame:
-    """The best supported weight in kilograms of each encounter: hadm_id, centre (natural logarithm)."""
+    """The best supported weight in kilograms of each encounter: hadm_id, centre (natural logarithm).
+
+    Votes weigh more for a unit that is told or that the field names; of equally supported weights the least
+    counts.
+    """
     vote = (
         F.when(F.col("in_value").isNotNull(), F.when(F.col("unit") == F.col("in_value"), 1.5))
         .when(F.col("in_uom").isNotNull(), F.when(F.col("unit") == F.col("in_uom"), 1.0).otherwise(F.when(F.col("unit") == F.col("field_unit"), 0.3).otherwise(0.1)))
@@ -88,10 +91,7 @@ def encounter_weights(found: DataFrame) -> DataFrame:
             x, v = at[a:b], votes[a:b]
             total = np.append(0, np.cumsum(v))
             lo, hi = np.searchsorted(x, x - REACH), np.searchsorted(x, x + REACH, side="right")
-            kg = np.exp((x + 0.5) * BIN)
-            # A weight that people have breaks ties: newborns and adults, not what lies between or beyond.
-            likely = np.where((kg >= 40) & (kg <= 180), 0.3, np.where((kg >= 0.5) & (kg <= 8), 0.25, np.where((kg > 8) & (kg <= 300), 0.1, -0.5)))
-            score = total[hi] - total[lo] + likely
+            score = np.round(total[hi] - total[lo], 9)
             best = int(np.argmax(score))
             lo, hi = lo[best], hi[best]
             half = np.searchsorted(np.cumsum(v[lo:hi]), v[lo:hi].sum() / 2)
@@ -108,6 +108,9 @@ def weights_in_kg(chartevents: DataFrame, static_fields: DataFrame, salts: int =
     itemid. A unit in value decides. Else a unit in valueuom does if its weight agrees with the encounter's;
     else the unit that agrees best does, the field's own first. Rows without a number, of 0 or below, are
     left out; an unknown encounter (null hadm_id) is judged by the row alone; repeated rows all count.
+
+    ``chartevents`` is scanned once: the weight rows, a small share, are written to the shared folder with the
+    units that their texts name, and both the votes and the result read them there.
     """
     fields = static_fields.filter(F.col("field_name").isin("weight_kg", "weight_lb", "weight_oz")).select("itemid", F.substring("field_name", 8, 2).alias("field_unit")).na.drop().distinct()
     rows = (
@@ -116,7 +119,9 @@ def weights_in_kg(chartevents: DataFrame, static_fields: DataFrame, salts: int =
         .withColumn("number", reading())
         .filter("number > 0")
     )
-    found = named_units(rows)
+    path = f"{shared_folder(chartevents.sparkSession)}/weights"
+    named_units(rows).write.parquet(path)
+    found = chartevents.sparkSession.read.parquet(path)
     centres = encounter_weights(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = found.withColumn("salt", F.pmod(F.coalesce("row_id", F.lit(0)), F.lit(salts)).cast("int"))
     off = {u: F.abs(F.log(F.col("number") * KG_OF[u]) - F.col("centre")) for u in UNITS}
