@@ -3,7 +3,7 @@
 A change of the input gives the baskets before and after it. Changed baskets emit signed deltas of pair
 counts, item counts and the number of baskets; the deltas are combined inside each task, shuffled, and merged
 into persistent counts that are hash-bucketed by pair. Only buckets with a delta are rewritten. Association
-scores are recomputed for the affected pairs.
+scores are kept too; those of the affected pairs are computed anew and put beside the former ones.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.sources.tables import shared_folder
 
-#: Buckets of the pair table, pairs that a task holds before it combines them, and the items of a basket that
-#: one task takes as first of a pair.
-BUCKETS, HELD, FIRSTS = 32, 1 << 21, 1024
+#: Least number of buckets of the pair table and pairs of a bucket from which there are more; pairs that a task
+#: holds before it combines them; items of a basket that one task takes as first of a pair; tables of scores
+#: from which all are computed anew into one.
+BUCKETS, BUCKET_PAIRS, HELD, FIRSTS, SCORE_TABLES = 8, 1 << 19, 1 << 21, 1024, 8
 
-_PAIRS = "code_a string, code_b string, n bigint"
+_COUNTS = "code_a string, code_b string, n bigint"
+_PAIRS = _COUNTS + ", v bigint"
+_ITEMS = "item string, n bigint"
+_SCORES = "code_a string, code_b string, n_ab bigint, n_a bigint, n_b bigint, v bigint"
 
 
 def code_baskets(diagnoses: DataFrame | None, procedures: DataFrame | None) -> DataFrame:
@@ -46,18 +50,18 @@ def changed_baskets(before: DataFrame | None, after: DataFrame) -> DataFrame:
     marked = after.select("basket", "item", F.lit(0).alias("old"), F.lit(1).alias("new"))
     if before is not None:
         marked = marked.unionByName(before.select("basket", "item", F.lit(1).alias("old"), F.lit(0).alias("new")))
+        marked = marked.groupBy("basket", "item").agg(F.max("old").alias("old"), F.max("new").alias("new"))
     return (
-        marked.groupBy("basket", "item")
-        .agg(F.max("old").alias("old"), F.max("new").alias("new"))
-        .groupBy("basket")
-        .agg(F.sort_array(F.collect_list(F.struct("item", "old", "new"))).alias("items"), F.max(F.abs(F.col("old") - F.col("new"))).alias("differs"), F.max("old").alias("was"), F.max("new").alias("stays"))
+        marked.groupBy("basket")
+        .agg(F.sort_array(F.collect_list(F.struct("item", "old", "new"))).alias("items"), F.max(F.abs(F.col("old") - F.col("new"))).alias("differs"))
         .filter("differs = 1")
         .drop("differs")
     )
 
 
-def pair_deltas(changed: DataFrame) -> DataFrame:
-    """Signed deltas of pair counts, combined in each task: code_a, code_b, n with code_a < code_b.
+def count_deltas(changed: DataFrame) -> DataFrame:
+    """Signed deltas, combined in each task: code_a, code_b, n. Pairs have code_a < code_b; a null code_b stands
+    for the count of an item, two nulls for the number of baskets.
 
     A basket of many items is spread: each task takes FIRSTS of its items as the first of a pair.
     """
@@ -76,13 +80,14 @@ def pair_deltas(changed: DataFrame) -> DataFrame:
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             begin = b.column("begin").to_numpy()
             size = max(len(names), 1)
+            sorted_names = pa.array(names[order], pa.string())
             keys, signs, held = [], [], 0
 
-            def combined():
+            def combined() -> pa.RecordBatch:
                 key, at = np.unique(np.concatenate(keys), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate(signs), minlength=len(key)).astype(np.int64)
                 key, n = key[n != 0], n[n != 0]
-                return pa.RecordBatch.from_arrays([pa.array(names[order][key // size], pa.string()), pa.array(names[order][key % size], pa.string()), pa.array(n)], ["code_a", "code_b", "n"])
+                return pa.RecordBatch.from_arrays([sorted_names.take(pa.array(key // size)), sorted_names.take(pa.array(key % size)), pa.array(n)], ["code_a", "code_b", "n"])
 
             for s, e, at in zip(offsets[:-1], offsets[1:], begin):
                 m = e - s
@@ -97,41 +102,54 @@ def pair_deltas(changed: DataFrame) -> DataFrame:
                     keys.append(item[i[keep]] * size + item[j[keep]])
                     signs.append(sign[keep])
                     held += int(keep.sum())
-                if held > HELD:
-                    yield combined()
-                    keys, signs, held = [], [], 0
+                    if held > HELD:
+                        yield combined()
+                        keys, signs, held = [], [], 0
             if held:
                 yield combined()
+            head = begin == 0  # a basket counts once for its items and the number of baskets
+            own = np.repeat(head, np.diff(offsets))
+            moved = np.bincount(item[own], weights=(new - old)[own], minlength=len(names)).astype(np.int64)
+            at = np.flatnonzero(moved)
+            starts = offsets[:-1][head]
+            more = int((np.maximum.reduceat(new, offsets[:-1]) - np.maximum.reduceat(old, offsets[:-1]))[head].sum()) if len(starts) else 0
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([sorted_names.take(pa.array(at)), pa.nulls(1, pa.string())]), pa.nulls(len(at) + 1, pa.string()), pa.array(np.append(moved[at], more))], ["code_a", "code_b", "n"])
 
     usual = changed.filter(F.size("items") <= FIRSTS).select("items", F.lit(0).cast("long").alias("begin"))
     begins = F.sequence(F.lit(0).cast("long"), (F.size("items") - 1).cast("long"), F.lit(FIRSTS).cast("long"))
     large = changed.filter(F.size("items") > FIRSTS).select("basket", "items", F.explode(begins).alias("begin")).repartition("basket", "begin")
-    return usual.unionByName(large.select("items", "begin")).mapInArrow(run, _PAIRS).groupBy("code_a", "code_b").agg(F.sum("n").alias("n")).filter("n <> 0")
-
-
-def item_deltas(changed: DataFrame) -> DataFrame:
-    """Signed deltas of item counts: item, n; the row with a null item is the number of baskets."""
-    items = changed.select(F.explode("items").alias("x")).select("x.item", (F.col("x.new") - F.col("x.old")).cast("long").alias("n"))
-    baskets = changed.select(F.lit(None).cast("string").alias("item"), (F.col("stays") - F.col("was")).cast("long").alias("n"))
-    return items.unionByName(baskets).groupBy("item").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return usual.unionByName(large.select("items", "begin")).mapInArrow(run, _COUNTS).groupBy("code_a", "code_b").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 class PairTable:
-    """Persistent counts in a shared folder: pairs by bucket, items, and a manifest of the current files.
+    """Persistent counts and scores in a shared folder: pairs by bucket, items, tables of scores, and a manifest
+    of the current files, from which a later session goes on.
 
-    Each update writes new files for the buckets it touches, then a new manifest, so a failed update leaves
-    the former state whole. Counts of zero are removed.
+    Each update writes new files, then a new manifest, then removes what the manifest no longer names; a failed
+    update leaves the former state whole. A DataFrame of the table must be used before the next update.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder or shared_folder(spark), buckets
-        self.version, self.files, self.items_path = 0, {}, ""
-        self.touched: DataFrame | None = None
+        self.spark, self.folder, self.least = spark, folder or shared_folder(spark), buckets
+        self.version, self.buckets, self.files, self.items_path, self.score_paths = 0, buckets, {}, "", []
+        fs, path = self._path(self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        versions = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        if versions:
+            text = self.spark.read.text(f"{self.folder}/manifest-{max(versions)}.json").head()[0]
+            m = json.loads(text)
+            self.version, self.buckets, self.items_path, self.score_paths = m["version"], m["buckets"], m["items"], m["scores"]
+            self.files = {int(k): p for k, p in m["files"].items()}
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _remove(self, names: list[str]) -> None:
+        for name in names:
+            fs, path = self._path(name)
+            fs.delete(path, True)
+
     def _buckets_in(self, folder: str) -> list[int]:
         """Buckets that a partitioned table has, from the names of its folders."""
         fs, path = self._path(folder)
@@ -141,68 +159,88 @@ class PairTable:
     def _bucket(self):
         return F.pmod(F.xxhash64("code_a", "code_b"), F.lit(self.buckets)).cast("int")
 
-    def pairs(self, buckets: list[int] | None = None) -> DataFrame:
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _rows(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read(_PAIRS, [p for b, p in sorted(self.files.items()) if buckets is None or b in buckets])
+
+    def pairs(self) -> DataFrame:
         """Current pair counts: code_a, code_b, n."""
-        paths = [p for b, p in sorted(self.files.items()) if buckets is None or b in buckets]
-        return self.spark.read.schema(_PAIRS).parquet(*paths) if paths else self.spark.createDataFrame([], _PAIRS)
+        return self._rows().filter("n <> 0").drop("v")
 
     def items(self) -> DataFrame:
         """Current item counts: item, n; the null item is the number of baskets."""
-        schema = "item string, n bigint"
-        return self.spark.read.schema(schema).parquet(self.items_path) if self.items_path else self.spark.createDataFrame([], schema)
+        return self._read(_ITEMS, [self.items_path] if self.items_path else [])
 
     def update(self, before: DataFrame | None, after: DataFrame) -> None:
-        """Merge the change from ``before`` to ``after`` into the counts.
+        """Merge the change from ``before`` to ``after`` into the counts and compute the affected scores.
 
         Both hold distinct (basket, item) rows without nulls, as code_baskets gives them; either may be empty,
         ``before`` may be None. Equal tables change nothing; a basket of one item counts only for its item.
         """
         v = self.version + 1
         root = f"{self.folder}/v{v}"
-        changed_baskets(before, after).write.parquet(f"{root}/changed")
-        changed = self.spark.read.parquet(f"{root}/changed")
-        pair_deltas(changed).withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{root}/deltas")
-        item_deltas(changed).write.parquet(f"{root}/item_deltas")
-        moved = self.spark.read.schema("item string, n bigint").parquet(f"{root}/item_deltas")
+        seen = Observation()
+        count_deltas(changed_baskets(before, after)).observe(seen, F.count("code_b").alias("pairs")).write.parquet(f"{root}/deltas")
+        deltas = self._read(_COUNTS, [f"{root}/deltas"])
+        moved = deltas.filter("code_b is null").select(F.col("code_a").alias("item"), "n")
         self.items().unionByName(moved).groupBy("item").agg(F.sum("n").alias("n")).filter("n <> 0").write.parquet(f"{root}/items")
-        deltas = self.spark.read.schema(_PAIRS + ", bucket int").parquet(f"{root}/deltas")
-        hit = self._buckets_in(f"{root}/deltas")
-        merged = self.pairs(hit).unionByName(deltas.select("code_a", "code_b", "n")).groupBy("code_a", "code_b").agg(F.sum("n").alias("n")).filter("n <> 0")
-        merged.withColumn("bucket", self._bucket()).repartition(min(self.buckets, max(1, len(hit))), "bucket").write.partitionBy("bucket").parquet(f"{root}/pairs")
-        left = self._buckets_in(f"{root}/pairs")
-        for b in hit:
-            self.files.pop(b, None)
-            if b in left:
-                self.files[b] = f"{root}/pairs/bucket={b}"
-        self.version, self.items_path, self.touched = v, f"{root}/items", moved
-        manifest = json.dumps({"version": v, "files": {str(k): p for k, p in self.files.items()}, "items": self.items_path})
+        needed = max(self.least, -(-int(seen.get["pairs"] or 0) // BUCKET_PAIRS))
+        hit = None
+        if not self.files or needed > 4 * self.buckets:  # the table is new or has grown: all buckets anew
+            self.buckets = needed
+        else:
+            hit = [r[0] for r in deltas.filter("code_b is not null").select(self._bucket()).distinct().collect()]
+        gone = [p for b, p in self.files.items() if hit is None or b in hit]
+        now = F.lit(v).cast("long").alias("v")
+        both = self._rows(hit).filter("n <> 0").unionByName(deltas.filter("code_b is not null").withColumn("v", now))
+        merged = both.withColumn("bucket", self._bucket()).repartition("bucket").groupBy("bucket", "code_a", "code_b").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+        merged.write.partitionBy("bucket").parquet(f"{root}/pairs")
+        files = {b: p for b, p in self.files.items() if p not in gone}
+        files.update({b: f"{root}/pairs/bucket={b}" for b in self._buckets_in(f"{root}/pairs")})
+        gone += [f"{root}/deltas", *([self.items_path] if self.items_path else [])]
+        self.files, self.items_path = files, f"{root}/items"
+
+        whole = len(self.score_paths) + 1 >= SCORE_TABLES
+        rows = self._rows()
+        if whole:
+            gone += self.score_paths
+            self.score_paths, rows = [], rows.filter("n <> 0")
+        elif self.version:
+            a, b = (moved.filter("item is not null").select(F.col("item").alias(c), F.lit(True).alias(f"m_{c}")) for c in ("code_a", "code_b"))
+            rows = rows.join(a, "code_a", "left").join(b, "code_b", "left").filter((F.col("v") == v) | (F.col("n") != 0) & (F.col("m_code_a") | F.col("m_code_b")))
+        named = self.items().filter("item is not null")
+        a, b = (named.select(F.col("item").alias(f"code_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        scored = rows.withColumnRenamed("n", "n_ab").join(a, "code_a", "left").join(b, "code_b", "left")
+        scored.select("code_a", "code_b", "n_ab", "n_a", "n_b", now).write.parquet(f"{root}/scores")
+        self.version, self.score_paths = v, [*self.score_paths, f"{root}/scores"]
+
+        manifest = json.dumps({"version": v, "buckets": self.buckets, "files": {str(k): p for k, p in self.files.items()}, "items": self.items_path, "scores": self.score_paths})
         fs, path = self._path(f"{self.folder}/manifest-{v}.json")
         out = fs.create(path, True)
         out.write(bytearray(manifest, "utf-8"))
         out.close()
+        self._remove([*gone, f"{self.folder}/manifest-{v - 1}.json"])
 
     def scores(self, least: int = 1, affected_only: bool = False) -> DataFrame:
         """Association of each pair with at least ``least`` common baskets: code_a, code_b, n_ab, n_a, n_b,
-        n, lift (how many times chance). affected_only restricts to pairs whose own count, item counts or
-        number of baskets changed in the last update; as the number of baskets enters every score, a change
-        of it affects all pairs.
+        total (number of baskets), lift (how many times chance).
+
+        The counts come from the stored scores, the last one of each pair; the number of baskets, one factor of
+        all lifts, from now. affected_only restricts to the pairs that the last update computed anew: their own
+        count or an item's count changed, or all of them were.
         """
-        counts = self.items()
-        total = counts.filter("item is null").select(F.col("n").alias("total"))
-        named = counts.filter("item is not null")
-        pairs = self.pairs().filter(F.col("n") >= least).withColumnRenamed("n", "n_ab")
-        if affected_only and self.touched is not None and not self.touched.filter("item is null").head(1):
-            items = self.touched.filter("item is not null").select("item")
-            deltas = self.spark.read.schema(_PAIRS + ", bucket int").parquet(f"{self.folder}/v{self.version}/deltas")
-            hit = deltas.select("code_a", "code_b")
-            hit = hit.union(pairs.join(items, pairs.code_a == items.item, "left_semi").select("code_a", "code_b"))
-            hit = hit.union(pairs.join(items, pairs.code_b == items.item, "left_semi").select("code_a", "code_b"))
-            pairs = pairs.join(hit.distinct(), ["code_a", "code_b"], "left_semi")
-        a = named.select(F.col("item").alias("code_a"), F.col("n").alias("n_a"))
-        b = named.select(F.col("item").alias("code_b"), F.col("n").alias("n_b"))
+        stored = self._read(_SCORES, self.score_paths)
+        if affected_only:
+            stored = stored.filter(F.col("v") == self.version)
+        elif len(self.score_paths) > 1:
+            last = F.max(F.struct("v", "n_ab", "n_a", "n_b")).alias("s")
+            stored = stored.groupBy("code_a", "code_b").agg(last).select("code_a", "code_b", "s.n_ab", "s.n_a", "s.n_b")
+        total = self.items().filter("item is null").select(F.col("n").alias("total"))
         return (
-            pairs.join(a, "code_a")
-            .join(b, "code_b")
+            stored.filter(F.col("n_ab") >= max(1, least))
+            .select("code_a", "code_b", "n_ab", "n_a", "n_b")
             .crossJoin(F.broadcast(total))  # one row
             .withColumn("lift", F.col("n_ab") * F.col("total") / (F.col("n_a").cast("double") * F.col("n_b")))
         )

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm.pairs import PairTable, changed_baskets, code_baskets, pair_deltas
+from cohortloom.llm.pairs import PairTable, changed_baskets, code_baskets, count_deltas
 from cohortloom.llm.queries import ORACLE, QUERIES
 from compare import canonical, views
 
@@ -74,12 +74,45 @@ def test_a_large_basket_goes_in_blocks(spark):
     old = pairs.HELD, pairs.FIRSTS
     pairs.HELD, pairs.FIRSTS = 1000, 40
     try:
-        got = {(r.code_a, r.code_b): r.n for r in pair_deltas(changed_baskets(None, spark.createDataFrame(items, ROWS))).collect()}
+        got = {(r.code_a, r.code_b): r.n for r in count_deltas(changed_baskets(None, spark.createDataFrame(items, ROWS))).filter('code_b is not null').collect()}
     finally:
         pairs.HELD, pairs.FIRSTS = old
     assert got == counts(items)[0]
 
 
+def checked(t, baskets):
+    want, n = counts(baskets)
+    items = {}
+    for _, i in set(baskets):
+        items[i] = items.get(i, 0) + 1
+    got = {(x.code_a, x.code_b): (x.n_ab, x.n_a, x.n_b, x.total) for x in t.scores().collect()}
+    assert got == {k: (c, items[k[0]], items[k[1]], n) for k, c in want.items()}
+
+
+def test_many_updates_and_a_later_session(spark, tmp_path):
+    """Scores that an update leaves alone stay right; the folder holds the current files only; another session
+    goes on from the manifest; growth makes more buckets."""
+    from cohortloom.llm import pairs
+
+    r = random.Random(3)
+    folder = f"file://{tmp_path}"
+    rows = []
+    old = pairs.SCORE_TABLES, pairs.BUCKET_PAIRS
+    pairs.SCORE_TABLES, pairs.BUCKET_PAIRS = 4, 5
+    try:
+        for k in range(6):
+            t = PairTable(spark, folder, 2)
+            new = [x for x in rows if r.random() < 0.95] + [(r.randint(0, 20 + 10 * k), f"i{r.randint(0, 4 + 4 * k)}") for _ in range(6 + 12 * k)]
+            t.update(spark.createDataFrame(sorted(set(rows)), ROWS), spark.createDataFrame(sorted(set(new)), ROWS))
+            rows = new
+            checked(t, rows)
+            assert t.version == k + 1 and len(t.score_paths) <= 4 and t.buckets >= 2
+        left = {p.name for p in tmp_path.iterdir() if p.name.startswith("manifest") and p.suffix == ".json"}
+        assert left == {"manifest-6.json"} and not list(tmp_path.glob("v*/deltas")) and len(list(tmp_path.glob("v*/items"))) == 1
+    finally:
+        pairs.SCORE_TABLES, pairs.BUCKET_PAIRS = old
+
+
 def test_codes(spark):
     d = spark.createDataFrame([(1, " 38.49 "), (1, "3849"), (1, "v10"), (1, None), (1, ""), (1, " . "), (None, "1")], "hadm_id bigint, icd9_code string").withColumn("basket", F.lit("b")).withColumn("item", F.lit(3))
     got = {(r.basket, r.item) for r in code_baskets(d, d.limit(1)).collect()}
