@@ -8,17 +8,22 @@ the length limit, the items that contain its last words have leaked. No shuffle
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortloom.functions.ship import ship, shipped
+from cohortloom.sources.tables import shared_folder
 
 #: Successive words that make a leak, share of a text's words from which the whole text goes, and the most
 #: words of one automaton; more items are split over several automata that a text passes one after the other.
-LEAST_WORDS, MOST_COVERED, AUTOMATON_WORDS = 12, 0.5, 1_000_000
+LEAST_WORDS, MOST_COVERED, AUTOMATON_WORDS = 12, 0.5, 250_000
 
 # A word with what may stand inside it: marks, invisible characters, a hyphen at a line end and signs at the
 # start of the next line.
@@ -91,12 +96,27 @@ class SuffixAutomaton:
                     owners[t].add(item)
                     t = self.link[t]
         # For a state of long strings: the items that contain its last ``least`` words.
+        sets: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.found: list[tuple[int, ...]] = []
         for s in range(len(self.step)):
             t = s
             while t > 0 and self.length[self.link[t]] >= least:
                 t = self.link[t]
-            self.found.append(tuple(sorted(owners[t])) if self.length[s] >= least else ())
+            items = tuple(sorted(owners[t])) if self.length[s] >= least else ()
+            self.found.append(sets.setdefault(items, items))
+        self._pack()
+
+    def _pack(self) -> None:
+        """Most states have one way on: it goes into two arrays, only the others keep a dictionary."""
+        one = [next(iter(d.items())) if len(d) == 1 else (-1, -1) for d in self.step]
+        self.word, self.way = array("i", [w for w, _ in one]), array("i", [t for _, t in one])
+        self.ways = {s: d for s, d in enumerate(self.step) if len(d) > 1}
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.step
+
+    def _next(self, s: int, w: int) -> int:
+        """The state after word w, -1 if there is none."""
+        return self.way[s] if self.word[s] == w else self.ways[s].get(w, -1) if s in self.ways else -1
 
     def _clone(self, p: int, q: int, w: int) -> int:
         c = len(self.step)
@@ -141,11 +161,12 @@ class SuffixAutomaton:
                 s = l = 0
                 for i in range(start, end):
                     w = ids[i]
-                    while s and w not in self.step[s]:
+                    nxt = self._next(s, w)
+                    while s and nxt < 0:
                         s = self.link[s]
                         l = self.length[s]
-                    nxt = self.step[s].get(w)
-                    if nxt is None:
+                        nxt = self._next(s, w)
+                    if nxt < 0:
                         s = l = 0
                         continue
                     s, l = nxt, l + 1
@@ -154,11 +175,12 @@ class SuffixAutomaton:
             start = end + 1
 
 
-def automata(items: DataFrame, least: int = LEAST_WORDS, most_words: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
-    """Automata of the test items (item_id, item_text). Rows with a null and items shorter than the limit
-    cannot leak. Items are read one partition at a time and split by their number of words, so no automaton
-    that is sent to the tasks exceeds the limit of words."""
-    out, part, held = [], [], 0
+def automata(items: DataFrame, least: int = LEAST_WORDS, most_words: int | None = None) -> Iterator[SuffixAutomaton]:
+    """Automata of the test items (item_id, item_text), one at a time. Rows with a null and items shorter than
+    the limit cannot leak. Items are read one partition at a time and split by their number of words, so no
+    automaton that is held or sent to the tasks exceeds ``most_words`` (AUTOMATON_WORDS) by more than an item."""
+    most_words = most_words or AUTOMATON_WORDS
+    part, held = [], 0
     for r in items.select("item_id", "item_text").na.drop().distinct().orderBy("item_id", "item_text").toLocalIterator():
         words = words_of(r[1])
         if len(words) < least:
@@ -166,21 +188,24 @@ def automata(items: DataFrame, least: int = LEAST_WORDS, most_words: int = AUTOM
         part.append((r[0], words))
         held += len(words)
         if held >= most_words:
-            out.append(SuffixAutomaton(part, least))
+            yield SuffixAutomaton(part, least)
             part, held = [], 0
-    return [*out, SuffixAutomaton(part, least)] if part else out
+    if part:
+        yield SuffixAutomaton(part, least)
+
+
+def word_forms(text: str, automaton: SuffixAutomaton) -> list[list[str]]:
+    """The words of a text in each form that can match: with divided words joined, and in their parts."""
+    words = words_of(text, automaton.vocabulary)
+    other = words_of(text, automaton.vocabulary, split=True) if _DIVIDED.search(text) else words
+    return [words] if other == words else [words, other]
 
 
 def _hits(text: str, automaton: SuffixAutomaton) -> set[int]:
     found: set[int] = set()
-    words = words_of(text, automaton.vocabulary)
-    for _, _, items in automaton.matches(words):
-        found.update(items)
-    if _DIVIDED.search(text):
-        other = words_of(text, automaton.vocabulary, split=True)
-        if other != words:
-            for _, _, items in automaton.matches(other):
-                found.update(items)
+    for words in word_forms(text, automaton):
+        for _, _, items in automaton.matches(words):
+            found.update(items)
     return found
 
 
@@ -212,44 +237,124 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORD
     return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
 
 
-def clean_text(text: str, automata_: list[SuffixAutomaton], most_covered: float = MOST_COVERED) -> tuple[int, int, str | None]:
-    """Words, leaked words, and the text without its leaked spans; None if they exceed the coverage limit."""
+Spans = list[tuple[int, int]]
+
+
+def _found_spans(text: str, automaton: SuffixAutomaton) -> Spans:
+    """First and one-past-last character of each leak. The words are those that _hits matches."""
+    spans: Spans = []
+    if not _hits(text, automaton):
+        return spans
     raws = list(_WORD.finditer(text))
-    leaked: set[int] = set()
-    total = 0
-    passes = (False, True) if _DIVIDED.search(text) else (False,)
-    for automaton in automata_:
-        for split in passes:
-            words, owner = [], []
-            for k, m in enumerate(raws):
-                for w in words_of(m.group(), automaton.vocabulary, split):
-                    words.append(w)
-                    owner.append(k)
-            if not split:
-                total = len(words)
-            for i, length, _ in automaton.matches(words):
-                leaked.update(owner[i - length + 1 : i + 1])
-    if not leaked:
-        return total or len(raws), 0, text
-    if len(leaked) > most_covered * len(raws):
-        return total, len(leaked), None
-    out, at = [], 0
-    for k in sorted(leaked):
-        if k == 0 or k - 1 not in leaked:
-            out.append(text[at : raws[k].start()])
-        at = raws[k].end()
-    out.append(text[at:])
-    return total, len(leaked), "".join(out)
+    for split in (False, True):
+        words, owner = [], []
+        for k, m in enumerate(raws):
+            for w in words_of(m.group(), automaton.vocabulary, split):
+                words.append(w)
+                owner.append(k)
+        for i, length, _ in automaton.matches(words):
+            spans.append((raws[owner[i - length + 1]].start(), raws[owner[i]].end()))
+    return spans
+
+
+def united(spans: Spans) -> Spans:
+    """Spans in order, those that overlap or touch as one."""
+    out: Spans = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _without(text: str, spans: Spans) -> tuple[str, list[int], list[int]]:
+    """The text without united spans; where each piece that stays begins in the result and in the text."""
+    pieces, begins, origins, at, n = [], [], [], 0, 0
+    for a, b in [*spans, (len(text), len(text))]:
+        pieces.append(text[at:a])
+        begins.append(n)
+        origins.append(at)
+        n += a - at
+        at = b
+    return "".join(pieces), begins, origins
+
+
+def leaked_spans(text: str, automaton: SuffixAutomaton, known: Spans = ()) -> Spans:
+    """United spans of the text: the known ones, its leaks, and leaks that appear where those are cut out, so
+    that nothing leaks from the text without them."""
+    spans = united([*known, *_found_spans(text, automaton)])
+    while spans:
+        rest, begins, origins = _without(text, spans)
+        new = _found_spans(rest, automaton)
+        if not new:
+            break
+
+        def place(i: int) -> int:
+            k = bisect_right(begins, i) - 1
+            return origins[k] + i - begins[k]
+
+        spans = united([*spans, *((place(a), place(b - 1) + 1) for a, b in new)])
+    return spans
+
+
+def clean_text(text: str, spans: Spans, most_covered: float = MOST_COVERED) -> tuple[int, int, str | None]:
+    """Words (runs of letters and digits, divided words joined), leaked words, and the text without the united
+    spans; None if they exceed the coverage limit."""
+    raws = [m.start() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in spans]
+    leaked = sum(i >= 0 and a < spans[i][1] for a in raws for i in (bisect_right(starts, a) - 1,))
+    if leaked > most_covered * len(raws):
+        return len(raws), leaked, None
+    return len(raws), leaked, _without(text, spans)[0]
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, most_covered: float = MOST_COVERED) -> DataFrame:
     """doc_id, n_words, n_leaked and clean of every document: the text without spans of at least ``least``
-    leaked words, null where more than ``most_covered`` of its words leaked. Null texts stay null."""
-    shared = ship(documents.sparkSession.sparkContext, automata(items, least))
+    leaked words, null where more than ``most_covered`` of its words leaked. Null texts stay null.
+
+    The spans are collected with one automaton after the other, each in a pass of its own, so a task holds one;
+    between passes the documents and their spans lie in the shared folder. With several automata the passes are
+    repeated until no spans are added. Then the spans are cut out together.
+    """
+    spark = documents.sparkSession
+    schema = "doc_id bigint, text string, spans array<struct<a: bigint, b: bigint>>"
+    rows = documents.select("doc_id", "text", F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)").alias("spans"))
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def search(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = shipped(shared)
+            for b in batches:
+                known = [[(x["a"], x["b"]) for x in s] for s in b.column("spans").to_pylist()]
+                spans = [leaked_spans(t, automaton, s) if t else [] for t, s in zip(b.column("text").to_pylist(), known)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], kind)], ["doc_id", "text", "spans"])
+
+        return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [clean_text(t, shipped(shared), most_covered) if t is not None else (0, 0, None) for t in b.column("text").to_pylist()]
+            spans = b.column("spans").to_pylist()
+            rows = [clean_text(t, [(x["a"], x["b"]) for x in s], most_covered) if t is not None else (0, 0, None) for t, s in zip(b.column("text").to_pylist(), spans)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_leaked", "clean"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_leaked bigint, clean string")
+    def written(df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(spark)}/spans"
+        df.write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    covered = F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]))
+    before = 0
+    while True:
+        n = 0
+        for automaton in automata(items, least):
+            rows = (written(rows) if n else rows).mapInArrow(search(ship(spark.sparkContext, automaton)), schema)
+            n += 1
+        if n < 2:
+            break
+        rows = written(rows)
+        after = rows.agg(covered).head()[0] or 0
+        if after == before:
+            break
+        before = after
+    return rows.mapInArrow(clean, "doc_id bigint, n_words bigint, n_leaked bigint, clean string")

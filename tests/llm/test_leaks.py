@@ -64,10 +64,41 @@ def test_more_items_than_one_automaton(spark, monkeypatch):
     items = [(i, " ".join(f"k{i}_{j}".replace("_", "x") for j in range(20))) for i in range(9)]
     docs = [(i, t) for i, t in items]
     monkeypatch.setattr(leaks, "AUTOMATON_WORDS", 50)
-    monkeypatch.setattr(leaks.automata, "__defaults__", (12, 50))
+    docs += [(20, "before it " * 40 + items[1][1] + " and " + items[8][1])]
     d, i = frames(spark, docs, items)
-    assert len(leaks.automata(i)) > 1
-    assert {(x.doc_id, x.item_id) for x in leaked_items(d, i).collect()} == {(k, k) for k in range(9)}
+    assert len(list(leaks.automata(i))) > 1
+    assert {(x.doc_id, x.item_id) for x in leaked_items(d, i).collect()} == {(k, k) for k in range(9)} | {(20, 1), (20, 8)}
+    got = {r.doc_id: r for r in remove_leaks(d, i).collect()}
+    assert got[20].n_leaked == 40 and got[20].clean.split() == ["before", "it"] * 40 + ["and"] and got[3].clean is None
+
+
+def test_nothing_leaks_from_clean_texts(spark):
+    """Clean texts have no pair that the search reports: divided words, overlapping leaks, and leaks that would
+    appear where others were cut out. Words outside stay."""
+    r = random.Random(8)
+    vocabulary = [a + b for a in ("re", "up", "in") for b in ("set", "let", "on")] + ["re", "up", "in", "set", "let", "on"]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(12, 30)))) for i in range(12)]
+
+    def divide(text):
+        words = []
+        for w in text.split():
+            k = r.randint(1, max(1, len(w) - 1))
+            words.append(w[:k] + "-\n" + w[k:] if len(w) > 2 and r.random() < 0.3 else w)
+        return " ".join(words)
+
+    docs = []
+    for k in range(150):
+        x, y = r.choice(items)[1].split(), r.choice(items)[1].split()
+        a = r.randint(0, len(x))
+        text = {0: x, 1: x[:a] + y + x[a:], 2: x[:a] + y, 3: [*x[:11], *y, *x[11:]]}[k % 4]
+        docs.append((k, "Seen before " * 40 + divide(" ".join(text)) + " Seen after" * 40))
+    d, i = frames(spark, docs, items)
+    leaked = {x.doc_id for x in leaked_items(d, i).collect()}
+    got = remove_leaks(d, i)
+    rows = got.collect()
+    assert len(leaked) > 120 and {x.doc_id for x in rows if x.n_leaked} == leaked
+    assert all(x.clean.startswith("Seen before " * 40) and x.clean.endswith(" Seen after" * 40) for x in rows)
+    assert leaked_items(got.selectExpr("doc_id", "clean as text"), i).count() == 0
 
 
 def test_clean(spark):
