@@ -67,6 +67,16 @@ class Model:
     grams: dict[str, np.ndarray] = field(default_factory=dict)
     default: np.ndarray | None = None
     scripts: dict[str, list[int]] = field(default_factory=dict)
+    calibration: tuple[float, ...] = (0.0, 1.0, 1.0, 0.0, 1.0)
+
+    def confidence(self, margin: float, words: int) -> float:
+        """Probability that a passage has its language: a logistic function of the mean evidence of its words
+        against the best other language and of their number, fitted on held-out sentences and at most what
+        their number can show."""
+        base, mean, size, both, most = self.calibration
+        n = math.log(max(words, 1))
+        x = base + mean * margin + size * n + both * margin * n
+        return min(most, 1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
 
     def features(self, word: str) -> list[str]:
         w = f"^{word}$"
@@ -138,11 +148,48 @@ def train(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
     return model
 
 
+def prefixes(rows: list[tuple[str, str]], model: Model) -> list[tuple[str, str, float, int]]:
+    """Language, found language, mean evidence against the best other one, and number of words of the first 1,
+    2, 3, 4, 6, 8 ... words of each sentence: what the confidence is fitted on and tested with."""
+    out = []
+    for lang, text in rows:
+        words = [m["w"] for m in _TOKEN.finditer(unicodedata.normalize("NFC", text).lower()) if m["w"]]
+        sizes = {n for n in (1, 2, 3, 4, 6, 8, 12, 16, 24) if n < len(words)} | {len(words)}
+        total = np.cumsum([model.score(w) for w in words], axis=0) if words else np.zeros((0, 0))
+        for n in sorted(sizes - {0}):
+            best, other = np.argsort(-total[n - 1], kind="stable")[:2] if len(model.languages) > 1 else (0, 0)
+            out.append((lang, model.languages[best], float(total[n - 1][best] - total[n - 1][other]) / n, n))
+    return out
+
+
+def calibrate(rows: list[tuple[str, str]], params: Params = Params()) -> tuple[float, ...]:
+    """Coefficients of Model.confidence: every third sentence of each language is held out of a model of the
+    rest, and a logistic function is fitted to which of its prefixes get the right language."""
+    rows = sorted(rows)
+    held, rest = rows[::3], [r for i, r in enumerate(rows) if i % 3]
+    if len({lang for lang, _ in rest}) < 2:
+        return Model([], params).calibration
+    seen = prefixes(held, train(rest, params))
+    if not seen:
+        return Model([], params).calibration
+    x = np.array([[1.0, m, math.log(n), m * math.log(n)] for _, _, m, n in seen])
+    y = np.array([lang == found for lang, found, _, _ in seen], float)
+    w = np.zeros(4)
+    for _ in range(50):  # Newton steps with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
+        w += np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+    return (*w.tolist(), 1 - 1 / (len(seen) + 2))
+
+
 def model_of(samples: DataFrame, params: Params = Params()) -> Model:
     """Fit on labelled sentences (lang, sample_text): at most params.samples rows, ordered by text, so the
-    model has a bounded size."""
+    model has a bounded size. The confidence is calibrated on held-out ones of them."""
     rows = samples.select(F.lower(F.trim("lang")).alias("lang"), "sample_text").na.drop().filter("lang <> ''").orderBy(F.xxhash64("sample_text"), "sample_text", "lang").limit(params.samples).collect()
-    return train([(r[0], r[1]) for r in rows], params)
+    pairs = [(r[0], r[1]) for r in rows]
+    model = train(pairs, params)
+    model.calibration = calibrate(pairs, params)
+    return model
 
 
 def label_language(label: str | None, languages: list[str]) -> str | None:
@@ -214,8 +261,7 @@ def _spans(path: np.ndarray, scores: np.ndarray, least: int) -> list[tuple[int,
 def label_texts(texts: list[str | None], model: Model, memo: dict[str, int], table: list[np.ndarray]) -> list[list[tuple[str, int, float]]]:
     """Passages (language, words, confidence) of each text in order; none for a text without words.
 
-    memo and table keep the scores of words already seen. The confidence is the probability of the passage's
-    language against the best other one, from the mean evidence of its words.
+    memo and table keep the scores of words already seen. For the confidence see Model.confidence.
     """
     p = model.params
     k = len(model.languages)
@@ -261,7 +307,7 @@ def label_texts(texts: list[str | None], model: Model, memo: dict[str, int], tab
             for a, b, lang in _spans(path[g, :n], s, p.least_words):
                 evidence = s[a:b].sum(0)
                 margin = evidence[lang] - max((evidence[j] for j in range(k) if j != lang), default=0.0)
-                passages.append((model.languages[lang], b - a, 1 / (1 + math.exp(-min(30.0, max(-30.0, margin))))))
+                passages.append((model.languages[lang], b - a, model.confidence(margin / (b - a), b - a)))
             out[doc] = passages
     return out
 

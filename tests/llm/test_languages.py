@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm.languages import Params, corrections, label_language, label_texts, passages, train
+from cohortloom.llm.languages import Params, calibrate, corrections, label_language, label_texts, passages, prefixes, train
 from cohortloom.llm.queries import QUERIES
 
 D = "/root/testdata/sf0.01"
@@ -59,10 +59,36 @@ def test_documents(spark):
     found = passages(docs, samples)
     got = sorted((r.doc_id, r.seg, r.lang) for r in corrections(found).collect())
     assert got == [(2, 1, "en"), (2, 1, "en"), (3, 1, "it"), (4, 1, "en"), (4, 2, "it")]
-    assert all(0.5 <= r.confidence <= 1 for r in found.collect())
+    assert all(0 < r.confidence < 1 for r in found.collect())
     assert passages(docs.limit(0), samples).count() == 0 and passages(docs, samples.limit(0)).count() == 0
 
 
+def table(rows, model):
+    """Mean confidence, share of right languages and size, by range of confidence."""
+    seen = [(model.confidence(m, n), lang == found) for lang, found, m, n in prefixes(rows, model)]
+    cuts = (0, 0.5, 0.7, 0.9, 0.99, 1)
+    parts = [[x for x in seen if a < x[0] <= b] for a, b in zip(cuts, cuts[1:])]
+    return [(sum(c for c, _ in p) / len(p), sum(ok for _, ok in p) / len(p), len(p)) for p in parts if p]
+
+
+def test_confidence_is_accuracy():
+    """On sentences that neither the model nor its calibration has seen, confidence is the share that is right."""
+    model = train(SAMPLES[::2])
+    model.calibration = calibrate(SAMPLES[::2])
+    found = table(SAMPLES[1::2], model)
+    assert len(found) >= 3
+    for mean, right, n in found:
+        assert abs(mean - right) < 0.05 + 2 * (0.25 / n) ** 0.5
+
+
+def test_ambiguous_texts_are_uncertain():
+    model = train(SAMPLES)
+    model.calibration = calibrate(SAMPLES)
+    sure = label_texts([t for _, t in SAMPLES], model, {}, [])
+    unsure = label_texts(["no", "la", "normal animal", "zqx", "no la"], model, {}, [])
+    assert all(p[2] > 0.95 for g in sure for p in g) and all(p[2] < 0.9 for g in unsure for p in g)
+
+
 def test_sample_bound(spark):
     samples = spark.createDataFrame(SAMPLES, "lang string, sample_text string")
     docs = spark.createDataFrame([(1, SAMPLES[0][1], None)], "doc_id bigint, text string, lang string")
