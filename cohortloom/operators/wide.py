@@ -77,8 +77,8 @@ def cell_values(chartevents: DataFrame, types: DataFrame) -> DataFrame:
 
 @dataclass
 class _Rows:
-    """Wide rows: encounter and moment of each, and by attribute and row the number, the word and the mark;
-    sums and counts stand behind the numbers."""
+    """Wide rows: encounter and moment of each, and by attribute and row the number, the word and the mark.
+    total and count belong to the numbers of the last row."""
 
     hadm: np.ndarray
     moment: np.ndarray
@@ -89,7 +89,7 @@ class _Rows:
     count: np.ndarray
 
     def part(self, a: int, b: int | None) -> _Rows:
-        return _Rows(self.hadm[a:b], self.moment[a:b], *(m[:, a:b] for m in (self.number, self.word, self.marks, self.total, self.count)))
+        return _Rows(self.hadm[a:b], self.moment[a:b], *(m[:, a:b] for m in (self.number, self.word, self.marks)), self.total, self.count)
 
 
 def _scatter(b: pa.RecordBatch, items: np.ndarray, text: np.ndarray, open_: _Rows | None) -> _Rows:
@@ -103,15 +103,15 @@ def _scatter(b: pa.RecordBatch, items: np.ndarray, text: np.ndarray, open_: _Row
     place[~text], place[text] = np.arange((~text).sum()), np.arange(text.sum())
     word_row = text[col]
     n_num, n_text, width = int((~text).sum()), int(text.sum()), len(first)
-    out = _Rows(hadm[first], moment[first], np.full((n_num, width), np.nan), np.full((n_text, width), None, object), np.zeros((len(items), width), bool), np.zeros((n_num, width)), np.zeros((n_num, width)))
+    out = _Rows(hadm[first], moment[first], np.full((n_num, width), np.nan), np.full((n_text, width), None, object), np.zeros((len(items), width), bool), np.zeros(n_num), np.zeros(n_num))
+    goes_on = open_ is not None and (hadm[0], moment[0]) == (open_.hadm[0], open_.moment[0])
     r, c, full = row[~word_row], place[col[~word_row]], col[~word_row]
     wr, wc, wfull = row[word_row], place[col[word_row]], col[word_row]
     x = b.column("number").to_numpy(zero_copy_only=False)[~word_row]
     n = b.column("n").to_numpy()[~word_row]
     w = b.column("word").to_numpy(zero_copy_only=False)[word_row]
-    if open_ is not None and (hadm[0], moment[0]) == (open_.hadm[0], open_.moment[0]):
+    if goes_on:
         out.number[:, 0], out.word[:, 0], out.marks[:, 0] = open_.number[:, 0], open_.word[:, 0], open_.marks[:, 0]
-        out.total[:, 0], out.count[:, 0] = open_.total[:, 0], open_.count[:, 0]
         there = out.number[c, r]
         hit = ~np.isnan(there) & (there != x)
         out.marks[full[hit], r[hit]] = True
@@ -123,8 +123,21 @@ def _scatter(b: pa.RecordBatch, items: np.ndarray, text: np.ndarray, open_: _Row
     out.marks[full[hit], r[hit]] = True
     hit = out.word[wc, wr] != w
     out.marks[wfull[hit], wr[hit]] = True
-    np.add.at(out.total, (c, r), x * n)
-    np.add.at(out.count, (c, r), n)
+    # Only marked cells need a mean, and only the last row may go on.
+    many = out.marks[full, r]
+    cells, at = np.unique(c[many] * width + r[many], return_inverse=True)
+    out.number.flat[cells] = np.bincount(at, (x * n)[many]) / np.bincount(at, n[many])
+
+    def sums(of: int) -> tuple[np.ndarray, np.ndarray]:
+        there = r == of
+        return np.bincount(c[there], (x * n)[there], n_num), np.bincount(c[there], n[there], n_num)
+
+    if goes_on:
+        total, count = sums(0)
+        total, count = total + open_.total, count + open_.count
+        marked = out.marks[~text, 0]
+        out.number[marked, 0] = total[marked] / count[marked]
+    out.total, out.count = (total, count) if goes_on and width == 1 else sums(width - 1)
     return out
 
 
@@ -157,11 +170,6 @@ def dictionary(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], bool)
 
 
-def _agreed(rows: _Rows, text: np.ndarray) -> np.ndarray:
-    """The number of each cell: the mean of its readings, the reading itself where all are equal."""
-    return np.where(rows.marks[~text], rows.total / np.maximum(rows.count, 1), rows.number)
-
-
 def wide_table(values: DataFrame, types: DataFrame) -> DataFrame:
     """One row per hadm_id and charttime with a column for each attribute: n_<itemid> double for numbers,
     t_<itemid> string for words, and differing, the item ids whose cell had different values.
@@ -174,7 +182,7 @@ def wide_table(values: DataFrame, types: DataFrame) -> DataFrame:
 
     def work(rows: _Rows) -> pa.RecordBatch:
         columns = [pa.array(rows.hadm), pa.array(rows.moment)]
-        columns += [pa.array(c, from_pandas=True) for c in _agreed(rows, text)] + [pa.array(c, pa.string()) for c in rows.word]
+        columns += [pa.array(c, from_pandas=True) for c in rows.number] + [pa.array(c, pa.string()) for c in rows.word]
         row, col = np.nonzero(rows.marks.T)
         offsets = np.searchsorted(row, np.arange(len(rows.hadm) + 1)).astype(np.int32)
         columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[col])))
@@ -190,9 +198,8 @@ def number_cells(values: DataFrame, types: DataFrame) -> DataFrame:
     numeric = items[~text]
 
     def work(rows: _Rows) -> pa.RecordBatch:
-        number = _agreed(rows, text)
-        col, row = np.nonzero(~np.isnan(number))
-        cols = [rows.hadm[row], numeric[col], rows.moment[row] // 1_000_000, number[col, row], rows.marks[~text][col, row]]
+        col, row = np.nonzero(~np.isnan(rows.number))
+        cols = [rows.hadm[row], numeric[col], rows.moment[row] // 1_000_000, rows.number[col, row], rows.marks[~text][col, row]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hadm_id", "itemid", "charttime_s", "number", "differs"])
 
     return _bucketed(values.filter("number is not null"), types, work, "hadm_id bigint, itemid bigint, charttime_s bigint, number double, differs boolean")
