@@ -37,7 +37,8 @@ ALIASES = {
 # Ranges of scripts that separate candidate languages.
 SCRIPTS = {"latin": r"\p{Latin}", "cyrillic": r"\p{Cyrillic}", "greek": r"\p{Greek}", "arabic": r"\p{Arabic}", "hebrew": r"\p{Hebrew}", "han": r"\p{Han}", "kana": r"[\p{Hiragana}\p{Katakana}]", "hangul": r"\p{Hangul}"}
 
-_TOKEN = regex.compile(r"(?P<w>\p{L}[\p{L}\p{M}]*)|(?P<b>[.!?…。]+(?=\s|$)|[\r\n\u0085\u2028\u2029]+)")
+#: Words, and what ends a sentence.
+_TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|[.!?…。]+(?=\s|$)|[\r\n\u0085\u2028\u2029]+")
 _MARKS = regex.compile(r"\p{M}+")
 
 
@@ -109,6 +110,11 @@ class Model:
 _PATTERNS = {k: regex.compile(v) for k, v in SCRIPTS.items()}
 
 
+def words_in(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    return [t for t in _TOKEN.findall(unicodedata.normalize("NFC", text).lower()) if t[0].isalpha()]
+
+
 def plain(word: str) -> str:
     """A word as it looks without accents."""
     return _MARKS.sub("", unicodedata.normalize("NFKD", word)).replace("ł", "l").replace("ß", "ss").replace("ø", "o")
@@ -123,10 +129,9 @@ def train(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
     counts: dict[str, Counter] = defaultdict(Counter)
     words: dict[str, Counter] = defaultdict(Counter)
     for lang, text in rows:
-        for m in _TOKEN.finditer(unicodedata.normalize("NFC", text).lower()):
-            if m["w"]:
-                words[lang][m["w"]] += 2
-                words[lang][plain(m["w"])] += 1
+        for word in words_in(text):
+            words[lang][word] += 2
+            words[lang][plain(word)] += 1
     scripts: dict[str, Counter] = defaultdict(Counter)
     for lang, ws in words.items():
         for w, n in ws.items():
@@ -153,7 +158,7 @@ def prefixes(rows: list[tuple[str, str]], model: Model) -> list[tuple[str, str,
     2, 3, 4, 6, 8 ... words of each sentence: what the confidence is fitted on and tested with."""
     out = []
     for lang, text in rows:
-        words = [m["w"] for m in _TOKEN.finditer(unicodedata.normalize("NFC", text).lower()) if m["w"]]
+        words = words_in(text)
         sizes = {n for n in (1, 2, 3, 4, 6, 8, 12, 16, 24) if n < len(words)} | {len(words)}
         total = np.cumsum([model.score(w) for w in words], axis=0) if words else np.zeros((0, 0))
         for n in sorted(sizes - {0}):
@@ -268,22 +273,21 @@ def label_texts(texts: list[str | None], model: Model, memo: dict[str, int], tab
     ids: list[np.ndarray] = []
     pens: list[np.ndarray] = []
     for text in texts:
-        row: list[int] = []
-        pen: list[float] = []
-        here = p.boundary
-        for word, _ in _TOKEN.findall(unicodedata.normalize("NFC", text).lower()) if text else ():
-            if not word:
-                here = p.boundary
-                continue
-            n = memo.get(word)
-            if n is None:
-                n = memo[word] = len(table)
-                table.append(model.score(word))
-            row.append(n)
-            pen.append(here)
-            here = p.inside
-        ids.append(np.array(row, np.int64))
-        pens.append(np.array(pen))
+        tokens = _TOKEN.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+        numbers = list(map(memo.get, tokens))
+        if None in numbers:
+            for t in tokens:
+                if t not in memo:
+                    if t[0].isalpha():
+                        memo[t] = len(table)
+                        table.append(model.score(t))
+                    else:
+                        memo[t] = -1  # the end of a sentence
+            numbers = list(map(memo.get, tokens))
+        n = np.array(numbers, np.int64)
+        ends = n < 0
+        ids.append(n[~ends])
+        pens.append(np.where(np.concatenate(([True], ends[:-1])), p.boundary, p.inside)[~ends] if len(n) else np.zeros(0))
     score_of = np.array(table) if table else np.zeros((1, k))
     lengths = np.array([len(r) for r in ids], np.int64)
     order = np.argsort(-lengths, kind="stable")
