@@ -2,8 +2,9 @@
 
 The rows of a group are cut into pieces at approximate quantiles of the order; every piece is a window of its
 own, and what a piece needs from the others (sums, the last row before it, the first one after it) is taken
-from one summary row for each piece, at most ``PIECES`` for a group. Results are exact wherever the cuts lie.
-The join with the summary uses the same keys as the window, so rows are shuffled once.
+from one summary row for each piece. Results are exact wherever the cuts lie. The join with the summary uses
+the same keys as the window, so rows are shuffled once. The input is read three times (cuts, summary, rows), so
+one that takes more than a scan is written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -12,22 +13,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortloom.sources.tables import shared_folder
+
+#: Pieces of a group; their square on clusters with more cores than that, so that a hot group fills them.
 PIECES = 64
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a table of the shared folder, unless they come from a scan without any shuffle."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(f"{name} " in plan for name in ("Join", "Aggregate", "Window", "Sort", "Distinct", "RepartitionByExpression", "MapInArrow", "Generate")):
+        return df
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pieces(df: DataFrame, order: str, name: str = "_p") -> DataFrame:
     """Adds the number of the piece that a row's order (a number, null first) falls into."""
     x = F.col(order).cast("double")
-    cuts = df.select(F.percentile_approx(x, [i / PIECES for i in range(1, PIECES)], 1000).alias("_q"))
-    at = F.size(F.filter(F.coalesce("_q", F.array().cast("array<double>")), lambda c: F.coalesce(c < x, F.lit(False))))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, at).drop("_q")  # one row
+    n = PIECES if df.sparkSession.sparkContext.defaultParallelism <= PIECES else PIECES * PIECES
+    cuts = df.select(F.percentile_approx(x, [i / n for i in range(1, n)], max(1000, 4 * n)).alias("_q"))
+    cuts = cuts.select(F.coalesce("_q", F.array().cast("array<double>")).alias("_q"))
+    below = lambda q: F.size(F.filter(q, lambda c: F.coalesce(c < x, F.lit(False))))
+    if n == PIECES:
+        at = below(F.col("_q"))
+    else:  # which of the coarse cuts, then which of the fine ones behind it
+        cuts = cuts.withColumn("_c", F.filter("_q", lambda c, i: i % PIECES == PIECES - 1))
+        at = below(F.col("_c")) * PIECES + below(F.slice("_q", below(F.col("_c")) * PIECES + 1, PIECES - 1))
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, at).drop(*cuts.columns)  # one row
 
 
 def running_total(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Adds sums over the rows that come before, by ``order`` and ``ties``, per ``by``. ``sums`` names the new
     column of each summed column."""
     by = by or []
-    keyed = pieces(df, order).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
+    keyed = pieces(settled(df), order).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
     totals = keyed.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_s_{o}") for c, o in sums.items()])
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(*by, "_p", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums.values()])
@@ -44,7 +65,7 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], fields: list[str]
     there = F.lit(True) if where is None else where
     names = list(dict.fromkeys([*order, *fields]))
     row = F.when(there, F.struct(*names))
-    keyed = pieces(df, order[0]).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
+    keyed = pieces(settled(df), order[0]).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
     summary = keyed.groupBy(*by, "_p").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
     w = Window.partitionBy(*by).orderBy("_p")
     edges = summary.select(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.quantiles import quantiles
+from cohortloom.functions.spread import settled
+
 
 def series_mean_reconstruction(observed: DataFrame) -> DataFrame:
     """The baseline: every time step of a series is its mean."""
@@ -38,13 +41,14 @@ def mape(pairs: DataFrame) -> DataFrame:
 def percentile_ladder(df: DataFrame, value: str, steps: int = 200) -> DataFrame:
     """Percentiles 0 to 100 in equal steps: level, x."""
     levels = [i / steps for i in range(steps + 1)]
-    q = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in levels])).alias("q"))
+    q = quantiles(df, value, levels)
     return q.select(F.posexplode("q").alias("i", "x")).select((F.col("i") * (100.0 / steps)).alias("level"), "x")
 
 
 def worst_left_out(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """For each share (percent): the percentile that cuts the worst values, and the mean of those up to it."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(1 - s / 100) for s in shares])).alias("q"))
+    df = settled(df.select(value))
+    cuts = quantiles(df, value, [1 - s / 100 for s in shares])
     rows = cuts.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("q").alias("threshold"))).alias("z")).select("z.*")
     return df.select(F.col(value).alias("x")).crossJoin(F.broadcast(rows)).filter("x <= threshold").groupBy("share", "threshold").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortloom.functions.spread import running_total
+from cohortloom.functions.quantiles import quantiles
+from cohortloom.functions.spread import running_total, settled
 from cohortloom.operators.stats import t_half_width
 
 
@@ -155,23 +156,22 @@ def occurrence_counts(codes: DataFrame, enc: DataFrame, label: str, category: st
 
 def trimmed(df: DataFrame, value: str, percent: float, two_sided: bool = False) -> DataFrame:
     """Rows up to a percentile, or between two; the bounds are one row."""
-    if two_sided:
-        b = df.agg(F.percentile(value, F.array(F.lit(percent / 200), F.lit(1 - percent / 200))).alias("b"))
-        return df.crossJoin(F.broadcast(b)).filter((F.col(value) >= F.col("b")[0]) & (F.col(value) <= F.col("b")[1])).drop("b")
-    b = df.agg(F.percentile(value, F.lit(percent / 100)).alias("b"))
-    return df.crossJoin(F.broadcast(b)).filter(F.col(value) <= F.col("b")).drop("b")
+    levels = [percent / 200, 1 - percent / 200] if two_sided else [percent / 100]
+    b = quantiles(df, value, levels).withColumnRenamed("q", "_b")
+    kept = df.crossJoin(F.broadcast(b)).filter(F.col(value) <= F.col("_b")[len(levels) - 1])  # one row
+    return (kept.filter(F.col(value) >= F.col("_b")[0]) if two_sided else kept).drop("_b")
 
 
 def capped_bmi(df: DataFrame, value: str) -> DataFrame:
     """Values above ceil(min(95th percentile, 75)) become null."""
-    b = df.agg(F.ceil(F.least(F.percentile(value, F.lit(0.95)), F.lit(75.0))).alias("_b"))
+    b = quantiles(df, value, [0.95]).select(F.ceil(F.least(F.get("q", F.lit(0)), F.lit(75.0))).alias("_b"))
     return df.crossJoin(F.broadcast(b)).withColumn(value, F.when(F.col(value) <= F.col("_b"), F.col(value))).drop("_b")
 
 
 def clipped(df: DataFrame, value: str, times: float = 3.0) -> DataFrame:
     """Values above a multiple of the median become that multiple."""
-    b = df.agg((times * F.percentile(value, F.lit(0.5))).alias("_b"))
-    return df.crossJoin(F.broadcast(b)).withColumn(value, F.least(value, "_b")).drop("_b")
+    b = quantiles(df, value, [0.5]).select((times * F.get("q", F.lit(0))).alias("_b"))
+    return df.crossJoin(F.broadcast(b)).withColumn(value, F.when(F.col(value).isNotNull(), F.least(value, "_b"))).drop("_b")
 
 
 def binned(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -189,7 +189,7 @@ def survival_bins(df: DataFrame, value: str, alive: str, bins: int, upper_percen
 def kaplan_meier(df: DataFrame, label: str, time: str, died: str) -> DataFrame:
     """Product-limit survival curve per cluster: label, t, at_risk, deaths, survival. Rows are first counted per
     time; running sums over the times are spread over tasks."""
-    n = df.filter(F.col(time).isNotNull()).groupBy(label, F.col(time).alias("t")).agg(F.count("*").alias("n"), F.sum(F.col(died).cast("int")).alias("deaths"))
+    n = settled(df.filter(F.col(time).isNotNull()).groupBy(label, F.col(time).alias("t")).agg(F.count("*").alias("n"), F.sum(F.col(died).cast("int")).alias("deaths")))
     size = n.groupBy(label).agg(F.sum("n").alias("size"))
     risk = running_total(n, "t", {"n": "below"}, [label]).join(size, label).withColumn("at_risk", F.col("size") - F.col("below")).drop("below", "size")
     q = 1 - F.col("deaths") / F.col("at_risk")

@@ -10,16 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.quantiles import quantiles
+
 NORMAL = 1e-7
 
 
 def medians(train: DataFrame) -> DataFrame:
     """Training median of each item."""
-    return train.groupBy("item").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    return quantiles(train, "value", [0.5], ["item"]).select("item", F.col("q")[0].alias("median"))
 
 
 def fill_medians(df: DataFrame, fitted: DataFrame) -> DataFrame:
-    return df.join(fitted, "item").withColumn("value", F.coalesce("value", "median")).drop("median")
+    return df.join(fitted, "item", "left").withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
 def mask_value(scaled: DataFrame, col: str = "value") -> DataFrame:
@@ -65,8 +67,7 @@ class Robust(MinMax):
     """Median and interquartile range, exact."""
 
     def fit(self, train: DataFrame) -> DataFrame:
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return train.groupBy("item").agg(q.alias("q")).select("item", F.col("q")[1].alias("shift"), F.when(F.col("q")[2] > F.col("q")[0], F.col("q")[2] - F.col("q")[0]).otherwise(1.0).alias("scale"))
+        return quantiles(train, "value", [0.25, 0.5, 0.75], ["item"]).select("item", F.col("q")[1].alias("shift"), F.when(F.col("q")[2] > F.col("q")[0], F.col("q")[2] - F.col("q")[0]).otherwise(1.0).alias("scale"))
 
 
 class QuantileNormal:
@@ -76,7 +77,7 @@ class QuantileNormal:
         self.levels = [i / steps for i in range(steps + 1)]
 
     def fit(self, train: DataFrame) -> DataFrame:
-        return train.groupBy("item").agg(F.percentile("value", F.array(*[F.lit(p) for p in self.levels])).alias("ladder"))
+        return quantiles(train, "value", self.levels, ["item"]).withColumnRenamed("q", "ladder")
 
     def transform(self, df: DataFrame, fitted: DataFrame) -> DataFrame:
         levels = np.array(self.levels)

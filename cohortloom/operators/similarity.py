@@ -1,15 +1,19 @@
 """Agreement of labelings, from their contingency table. Labelings: (id, a, b); the table is bounded by the
-number of labels, so the work after it is small whatever the number of points."""
+number of labels."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortloom.operators.stats import Hypergeometric
+
 
 def contingency(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
     return labels.groupBy(*(by or []), "a", "b").agg(F.count("*").alias("n"))
@@ -42,7 +46,8 @@ def jaccard(table: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def adjusted_mutual_info(cells: list[tuple[int, int, int]]) -> float:
-    """Adjusted mutual information of a contingency table (a, b, n), arithmetic mean of the entropies."""
+    """Adjusted mutual information of a contingency table (a, b, n), arithmetic mean of the entropies. The work
+    grows with the number of labels and the root of the number of points."""
     rows: dict[int, int] = {}
     cols: dict[int, int] = {}
     for a, b, n in cells:
@@ -53,14 +58,11 @@ def adjusted_mutual_info(cells: list[tuple[int, int, int]]) -> float:
         return 1.0
     h = lambda c: -sum(n / total * math.log(n / total) for n in c.values() if n)
     mi = sum(n / total * math.log(n * total / (rows[a] * cols[b])) for a, b, n in cells if n)
-    lg = lambda n: math.lgamma(n + 1)
     expected = 0.0
-    for x in rows.values():
-        for y in cols.values():
-            fixed = lg(x) + lg(y) + lg(total - x) + lg(total - y) - lg(total)
-            for n in range(max(1, x + y - total), min(x, y) + 1):
-                p = math.exp(fixed - lg(n) - lg(x - n) - lg(y - n) - lg(total - x - y + n))
-                expected += n / total * math.log(total * n / (x * y)) * p
+    for (x, y), times in Counter((x, y) for x in rows.values() for y in cols.values()).items():
+        table = Hypergeometric(x, y, total)
+        n = table.likely(1)
+        expected += times * float((n / total * np.log(total * n / (x * y)) * np.exp(table.log_p(n))).sum())
     mean = (h(rows) + h(cols)) / 2
     gap = mean - expected
     gap = min(gap, -1e-15) if gap < 0 else max(gap, 1e-15)

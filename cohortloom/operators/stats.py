@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +28,60 @@ def rank_sum(df: DataFrame, label: str, value: str, by: list[str] | None = None)
     return out.select(*by, label, "n_in", "n_out", F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), z).alias("z"))
 
 
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """Logarithm of n! of whole numbers: summed up to 32, by Stirling's series beyond."""
+    n = np.asarray(n, float)
+    x = np.maximum(n, 32.0)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n <= 32, _SMALL[np.clip(n, 0, 32).astype(int)], series)
+
+
+_SMALL = np.array([math.lgamma(k + 1) for k in range(33)])
+
+
+class Hypergeometric:
+    """Counts in the first cell of a 2x2 table with fixed sums: r1 of n rows, c1 of n columns."""
+
+    def __init__(self, r1: int, c1: int, n: int):
+        self.r1, self.c1, self.n = r1, c1, n
+        self.low, self.high = max(0, r1 + c1 - n), min(r1, c1)
+        self.mean = r1 * c1 / n if n else 0.0
+        self.sd = math.sqrt(max(0.0, self.mean * (n - r1) * (n - c1) / n / (n - 1))) if n > 1 else 0.0
+        self.fixed = float(log_factorial(np.array([r1, n - r1, c1, n - c1])).sum() - log_factorial(np.array(n)))
+
+    def log_p(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, float)
+        return self.fixed - log_factorial(x) - log_factorial(self.r1 - x) - log_factorial(self.c1 - x) - log_factorial(self.n - self.r1 - self.c1 + x)
+
+    def likely(self, least: int = 0) -> np.ndarray:
+        """All counts within 40 deviations of the mean; those beyond have no weight (below 1e-300)."""
+        reach = 40 * self.sd + 50
+        return np.arange(max(self.low, least, int(self.mean - reach)), min(self.high, int(self.mean + reach)) + 1)
+
+    def tail(self, x: int, step: int, limit: float) -> float:
+        """Sum of the probabilities of the counts from x away from the mean that are no likelier than ``limit``."""
+        reach = int(40 * self.sd + 50)
+        far = np.arange(x, min(self.high, x + reach) + 1) if step > 0 else np.arange(max(self.low, x - reach), x + 1)
+        p = self.log_p(far)
+        return float(np.exp(p[p <= limit]).sum())
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p-value of a 2x2 table: the probability of all tables no likelier than the given one."""
-    r1, c1, n = a + b, a + c, a + b + c + d
-    lg = math.lgamma
-    fixed = lg(r1 + 1) + lg(n - r1 + 1) + lg(c1 + 1) + lg(n - c1 + 1) - lg(n + 1)
-    log_p = lambda x: fixed - lg(x + 1) - lg(r1 - x + 1) - lg(c1 - x + 1) - lg(n - r1 - c1 + x + 1)
-    here = log_p(a)
-    return min(1.0, sum(math.exp(p) for x in range(max(0, r1 + c1 - n), min(r1, c1) + 1) if (p := log_p(x)) <= here + 1e-7))
+    """Two-sided p-value of a 2x2 table: the probability of all tables no likelier than the given one. The
+    likelihood falls on both sides of its peak, so the work grows with the root of the counts only."""
+    h = Hypergeometric(a + b, a + c, a + b + c + d)
+    peak = min(h.high, max(h.low, (h.r1 + 1) * (h.c1 + 1) // (h.n + 2)))
+    limit = float(h.log_p(np.array(a))) + 1e-7
+    if float(h.log_p(np.array(peak))) <= limit:
+        return 1.0
+    step = 1 if a > peak else -1
+    # The first count on the other side that is no likelier, by halving.
+    near, far = peak, h.low - 1 if step > 0 else h.high + 1
+    while abs(far - near) > 1:
+        mid = (near + far) // 2
+        near, far = (mid, far) if float(h.log_p(np.array(mid))) > limit else (near, mid)
+    # On the given side, counts of equal likelihood up to rounding may stand before a.
+    return min(1.0, h.tail(a, step, limit) + (h.tail(far, -step, limit) if h.low <= far <= h.high else 0.0))
 
 
 def fisher_p(a: str, b: str, c: str, d: str) -> Column:
