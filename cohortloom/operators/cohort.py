@@ -1,5 +1,5 @@
 """Choosing encounters: filters, set differences, samples and splits. Random choices order by a hash of the
-key and a seed, so they depend neither on partitions nor on the size of the cluster."""
+key and a seed, so they depend neither on partitions nor on the size of the cluster; ties go by the key."""
 
 from __future__ import annotations
 
@@ -42,17 +42,18 @@ def seed_of(text: str) -> int:
     return int.from_bytes(text.encode(), "little") % 1_000_000
 
 
-def shuffled(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+def shuffled(seed: int, *keys: str) -> Column:
+    """Place of a row in a random order: 48 bits of the MD5 digest of the seed and the keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys)), 1, 12), 16, 10).cast("long")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A fixed random sample of n rows without replacement (a top-n, no full sort)."""
-    return df.orderBy(shuffled(key, seed), key).limit(n)
+    return df.orderBy(shuffled(seed, key), key).limit(n)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(shuffled(key, seed), key)
+    w = Window.partitionBy(group).orderBy(shuffled(seed, key), key)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
@@ -62,16 +63,20 @@ def bootstraps(df: DataFrame, key: str, times: int, share: float, seed: int) ->
     from cohortloom.functions.spread import running_total
 
     total = df.agg((F.count("*") * F.lit(share)).cast("long").alias("_k"))
-    out = df.select(key).withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_h", F.xxhash64(key, "boot_id", F.lit(seed))).withColumn("_one", F.lit(1))
+    out = df.select(key).withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_h", shuffled(seed, "boot_id", key)).withColumn("_one", F.lit(1))
     placed = running_total(out, "_h", {"_one": "below"}, ["boot_id"], [key])
     return placed.crossJoin(F.broadcast(total)).filter("below < _k").select(key, "boot_id")  # one row
 
 
 def split(df: DataFrame, key: str, seed: int = 0, share: float = 0.9) -> DataFrame:
-    """Adds split ('training' or 'validation') by the hash of the key: a share of the hash space is for
-    training. No sort of the whole cohort; the shares hold up to chance."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return df.withColumn("split", F.when(u < share, "training").otherwise("validation"))
+    """Adds split: the first floor(share * rows) rows in random order are 'training', the others 'validation'.
+    Places are running counts that are spread over tasks; no sort of the whole cohort in one."""
+    from cohortloom.functions.spread import running_total
+
+    total = df.agg(F.floor(F.count("*") * F.lit(share)).alias("_k"))
+    placed = running_total(df.withColumn("_h", shuffled(seed, key)).withColumn("_one", F.lit(1)), "_h", {"_one": "_below"}, None, [key])
+    out = placed.crossJoin(F.broadcast(total))  # one row
+    return out.withColumn("split", F.when(F.col("_below") < F.col("_k"), "training").otherwise("validation")).drop("_h", "_one", "_below", "_k")
 
 
 def in_split(df: DataFrame, which: str) -> DataFrame:
@@ -81,5 +86,12 @@ def in_split(df: DataFrame, which: str) -> DataFrame:
     return df.filter(FILTERS[which]) if which in FILTERS else df.filter(F.col("split") == which)
 
 
-def sample_with_replacement(df: DataFrame, share: float, seed: int) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=share, seed=seed)
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n draws with replacement, each any row with the same chance: key and draw, from 0. A draw picks the row at
+    a place that the hash of its number gives, places being those of the keys in order."""
+    from cohortloom.functions.spread import running_total
+
+    placed = running_total(df.select(key).withColumn("_one", F.lit(1)), key, {"_one": "_at"}).select(key, "_at")
+    size = df.agg(F.count("*").alias("_n"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size)).filter("_n > 0")  # one row
+    return draws.withColumn("_at", F.pmod(shuffled(seed, "draw"), F.col("_n"))).join(placed, "_at").select(key, "draw")

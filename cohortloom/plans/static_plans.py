@@ -220,21 +220,54 @@ def code_popularity(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_enc"), "code")))
 
 
-@query()
+def _place(seed: int, *keys: str) -> str:
+    """The random order of the samples, in SQL."""
+    return "('0x' || substr(md5('" + str(seed) + "' || " + " || ".join(f"':' || {k}" for k in keys) + "), 1, 12))::bigint"
+
+
+_SEED = C.seed_of("run-1")
+
+
+@query(f"with {ENC}, r as (select enc, row_number() over (order by {_place(7, 'enc')}, enc) as i, floor(count(*) over () * 0.9::double) as k from enc) select enc, case when i <= k then 'training' else 'validation' end as split from r")
 def train_val_split(spark: SparkSession, d: str) -> DataFrame:
     return C.split(enc(spark, d).select("enc"), "enc", seed=7)
 
 
-@query()
+@query(f"with {ENC}, r as (select enc, row_number() over (order by {_place(7, 'enc')}, enc) as i, floor(count(*) over () * 0.9::double) as k from enc) select enc, case when i <= k then 0 else 1 end as split_pos from r")
+def split_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cohort with the training part first."""
+    return C.in_split(C.split(enc(spark, d).select("enc"), "enc", seed=7), "all").select("enc", "split_pos")
+
+
+@query(f"with {ENC}, r as (select enc, row_number() over (order by {_place(7, 'enc')}, enc) as i, floor(count(*) over () * 0.9::double) as k from enc) select enc from r where i <= k order by {_place(_SEED, 'enc')}, enc limit 200")
+def sample_of_training(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded sample of the training part."""
+    training = C.in_split(C.split(enc(spark, d).select("enc"), "enc", seed=7), "training")
+    return C.sample_n(training.select("enc"), "enc", 200, _SEED)
+
+
+@query(f"select hadm_id from admissions order by {_place(_SEED, 'hadm_id')}, hadm_id limit 100")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
-    return C.sample_n(table(spark, d, "admissions").select("hadm_id"), "hadm_id", 100, C.seed_of("run-1")).orderBy("hadm_id")
+    return C.sample_n(table(spark, d, "admissions").select("hadm_id"), "hadm_id", 100, _SEED)
 
 
-@query()
+@query(f"with {ENC} select enc, lab from enc qualify row_number() over (partition by lab order by {_place(3, 'enc')}, enc) <= 50")
 def sample_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     return C.sample_per_group(enc(spark, d).select("enc", "lab"), "lab", "enc", 50, 3)
 
 
-@query()
+@query(f"with x as (select vec_id as id, b.boot_id, row_number() over (partition by b.boot_id order by {_place(1, 'b.boot_id', 'vec_id')}, vec_id) as i, cast(floor(count(*) over (partition by b.boot_id) * 0.7::double) as bigint) as k from embeddings cross join (select cast(unnest(range(10)) as int) as boot_id) b) select id, boot_id from x where i <= k")
 def bootstrap_membership(spark: SparkSession, d: str) -> DataFrame:
     return C.bootstraps(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id", 10, 0.7, 1)
+
+
+@query(f"with r as (select hadm_id, row_number() over (order by hadm_id) - 1 as at, count(*) over () as n from admissions), x as (select unnest(range(500)) as draw) select r.hadm_id, x.draw from x join r on r.at = {_place(5, 'x.draw')} % r.n")
+def sample_with_replacement(spark: SparkSession, d: str) -> DataFrame:
+    return C.sample_with_replacement(table(spark, d, "admissions"), "hadm_id", 500, 5)
+
+
+@query(f"select {_SEED} as seed, cast(sum({_place(_SEED, 'hadm_id')} % 1000) as bigint) as checksum from admissions")
+def seed_of_text(spark: SparkSession, d: str) -> DataFrame:
+    """The seed of a run's name and the sum of the places that it gives."""
+    a = table(spark, d, "admissions")
+    return a.agg(F.lit(_SEED).alias("seed"), F.sum(C.shuffled(_SEED, "hadm_id") % 1000).alias("checksum"))
