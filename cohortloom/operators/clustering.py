@@ -10,6 +10,7 @@ long tables of labels.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortloom.operators import similarity as A
 from cohortloom.functions.spread import running_total
+from cohortloom.operators import similarity as A
+from cohortloom.sources.tables import shared_folder
 
 MAX_POINTS = 5_000
 #: points of a block where distances are worked in pairs of blocks.
@@ -352,6 +354,30 @@ def pick_interesting(scores: DataFrame, share: float = 0.5) -> DataFrame:
     return scores.withColumn("top", top).withColumn("least", least).groupBy("clustering_id", "k").agg(F.max(F.col("top") | F.col("least")).alias("interesting")).filter("interesting").drop("interesting")
 
 
+def cluster_complete(features: DataFrame, algorithms: tuple[str, ...] = ("kmedoids", "hierarchical"), ks: list[int] | None = None, boots: int = 10, share: float = 0.7, seed: int = 1, best: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole analysis of features (id, features): clusterings of all points and of each bootstrap, their
+    robustness, and the robust clusterings that differ most from one another. Gives the labels of all
+    clusterings, their robustness, and the interesting ones (clustering_id, k), chosen among the robust ones by
+    silhouette and by the gap between clusters and effective clusters."""
+    from cohortloom.operators.cohort import bootstraps
+
+    folder = shared_folder(features.sparkSession)
+    spark = features.sparkSession
+    members = bootstraps(features, "id", boots, share, seed)
+    for name, parts in (("full", [sweep(features, a, ks) for a in algorithms]), ("boots", [sweep_boots(features, members, a, ks) for a in algorithms])):
+        reduce(lambda x, y: x.unionByName(y), parts).write.parquet(f"{folder}/{name}")
+    full = spark.read.parquet(f"{folder}/full")
+    robustness(full, spark.read.parquet(f"{folder}/boots")).write.parquet(f"{folder}/robust")
+    found = spark.read.parquet(f"{folder}/robust")
+    kept = found.filter("is_robust").select("clustering_id").distinct()
+    quality = pick_one_per_k(A.label_quality(full.join(kept, "clustering_id", "left_semi")))
+    scores = quality.select("clustering_id", "k", F.lit("gap").alias("metric"), (-F.abs(F.col("k") - F.col("k_effective"))).alias("score"))
+    for (name,) in quality.select("clustering_id").collect():  # at most one for each number of clusters
+        s = silhouette(features, full.filter(F.col("clustering_id") == name)).select(F.lit(name).alias("clustering_id"), F.lit("silhouette").alias("metric"), F.col("silhouette").alias("score"))
+        scores = scores.unionByName(s.join(quality.select("clustering_id", "k"), "clustering_id").select("clustering_id", "k", "metric", "score"))
+    return full, found, pick_interesting(scores, best)
+
+
 def spread_positions(n: int, most: int = 6) -> list[int]:
     """At most ``most`` log-spaced positions of 0..n-1, both ends included."""
     if n <= most:

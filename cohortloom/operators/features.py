@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,7 +48,8 @@ class Components:
     def fit(self, train: DataFrame) -> Components:
         """train: id, features array<double>."""
         n = train.select(F.size("features")).head()[0]
-        self.mean = np.array(train.agg(*[F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(n)]).head())
+        sums = train.agg(*[F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(n)], *[F.var_samp(F.col("features")[i]).alias(f"v{i}") for i in range(n)]).head()
+        self.mean, self.total = np.array(sums[:n]), float(sum(v or 0.0 for v in sums[n:]))
         v = self._centred(train).select("id", array_to_vector("features").alias("v"))
         model = PCA(k=min(self.k, n), inputCol="v", outputCol="p").fit(v)
         w = model.pc.toArray()
@@ -56,15 +61,48 @@ class Components:
         mean = F.array(*[F.lit(float(m)) for m in self.mean])
         return df.withColumn("features", F.zip_with(F.col("features").cast("array<double>"), mean, lambda a, b: a - b))
 
+    def _mapped(self, df: DataFrame, f: Callable[[np.ndarray], np.ndarray], schema: str, name: str) -> DataFrame:
+        """Rows of equally long arrays through a function of their matrix; other rows give null."""
+        kind = dict(df.dtypes)["id"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column("features").to_pylist()
+                out: list = [None] * len(lists)
+                at = [i for i, x in enumerate(lists) if x is not None and None not in x]
+                if at:
+                    for i, row in zip(at, f(np.array([lists[i] for i in at], float)).tolist()):
+                        out[i] = row
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.float64()) if schema.startswith("array") else pa.float64())], ["id", name])
+
+        return df.select("id", F.col("features").cast("array<double>").alias("features")).mapInArrow(run, f"id {kind}, {name} {schema}")
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Projections: id, features."""
-        dot = lambda col: F.aggregate(F.zip_with("features", F.array(*[F.lit(float(x)) for x in col]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return self._centred(df).select("id", F.array(*[dot(c) for c in self.weights.T]).alias("features"))
+        w, mean = self.weights, self.mean
+        return self._mapped(df, lambda x: (x - mean) @ w, "array<double>", "features")
 
     def inverse(self, df: DataFrame) -> DataFrame:
         """Reconstruction of the original features from projections."""
-        rows = [F.aggregate(F.zip_with("features", F.array(*[F.lit(float(x)) for x in r]), lambda a, b: a * b), F.lit(float(m)), lambda s, x: s + x) for r, m in zip(self.weights, self.mean)]
-        return df.select("id", F.array(*rows).alias("features"))
+        w, mean = self.weights, self.mean
+        return self._mapped(df, lambda x: x @ w.T + mean, "array<double>", "features")
+
+    def log_likelihood(self, df: DataFrame) -> DataFrame:
+        """Mean log-likelihood of rows under the probabilistic model of the components: what they leave of the
+        variance is noise of equal size in the other directions."""
+        n, k = len(self.mean), self.weights.shape[1]
+        var = np.maximum(self.explained * self.total, 1e-12)
+        noise = max((self.total - var.sum()) / (n - k), 1e-12) if n > k else 0.0
+        w, mean = self.weights, self.mean
+        fixed = n * np.log(2 * np.pi) + np.log(var).sum() + ((n - k) * np.log(noise) if n > k else 0.0)
+
+        def density(x: np.ndarray) -> np.ndarray:
+            z = x - mean
+            p = z @ w
+            rest = (z**2).sum(1) - (p**2).sum(1)
+            return -0.5 * (fixed + (p**2 / var).sum(1) + (rest / noise if n > k else 0.0))
+
+        return self._mapped(df, density, "double", "d").agg(F.avg("d").alias("log_likelihood"))
 
     def cumulative(self, spark) -> DataFrame:
         """Explained variance and its running sum: component, explained, cumulative."""
@@ -126,11 +164,12 @@ def padded_batches(series: DataFrame, fill: float, batch: int = 4, most: int = 0
     return frame.join(parts, [*keys, "chunk"], "left").select("batch", *keys, "n", "chunk", F.concat(xs, F.array_repeat(F.lit(float(fill)), (whole - F.size(xs)).cast("int"))).alias("xs"))
 
 
-def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ...] = (6, 10), gains: tuple[float, ...] = GAINS, least: int = 50) -> DataFrame:
+def trees(data: DataFrame, label: str, columns: list[str] | str, depths: tuple[int, ...] = (6, 10), gains: tuple[float, ...] = GAINS, least: int = 50) -> DataFrame:
     """Decision trees over a grid of depth and least gain; trees that are only a root and repeated trees are
-    left out. Gains are those of the node, splits are binned (an approximation the library makes).
+    left out. ``columns`` are numbers, or one column with equally long arrays. Gains are those of the node, splits are binned (an approximation the library makes).
     Output: depth, gain, nodes, accuracy, rules."""
-    v = data.select(F.col(label).cast("double").alias("y"), array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("v")).na.drop().persist()
+    features = F.col(columns).cast("array<double>") if isinstance(columns, str) else F.array(*[F.col(c).cast("double") for c in columns])
+    v = data.select(F.col(label).cast("double").alias("y"), array_to_vector(features).alias("v")).na.drop().persist()
     rows, seen = [], set()
     for depth in depths:
         for gain in gains:
@@ -144,6 +183,32 @@ def trees(data: DataFrame, label: str, columns: list[str], depths: tuple[int, ..
     return data.sparkSession.createDataFrame(rows, "depth int, gain double, nodes int, accuracy double, rules string")
 
 
+def tree_selections(data: DataFrame, label: str, selections: dict[str, list[str]], **grid) -> DataFrame:
+    """The trees of each named selection of attributes, with the selection as a column. Attributes are columns
+    of equally long arrays. A missing cell takes one value below all that there are, so trees can split on it."""
+    names = sorted({c for columns in selections.values() for c in columns})
+    low = data.agg(*[F.min(F.array_min(c)).alias(c) for c in names]).head() if names else []
+    sentinel = math.floor(min((x for x in low if x is not None), default=0.0) - 1)
+    out = None
+    for name, columns in selections.items():
+        joined = F.transform(F.concat(*[F.col(c).cast("array<double>") for c in columns]), lambda x: F.coalesce(x, F.lit(float(sentinel))))
+        part = trees(data.select(label, joined.alias("_x")), label, "_x", **grid).withColumn("selection", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def classify_each(train: DataFrame, test: DataFrame, targets: list[str]) -> DataFrame:
+    """One classifier for each 0/1 target on the same features: target and the measures of classify. A target
+    with one class only in the training rows has none."""
+    out = None
+    both = train.agg(*[F.countDistinct(t).alias(t) for t in targets]).head()
+    for t in targets:
+        if both[t] > 1:
+            part = classify(train.select("features", t).na.drop(), test.select("features", t).na.drop(), t).withColumn("target", F.lit(t))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def classify(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Logistic classifier on features with class weights: precision, recall, f1 and area under the curve on
     the test rows. The area comes from rank sums over distinct scores."""

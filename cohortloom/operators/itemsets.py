@@ -28,6 +28,16 @@ def maximal(sets: DataFrame) -> DataFrame:
     return sets.join(covered, "itemset", "left_anti")
 
 
+def all_sets(tx: DataFrame, support: float, label: str, maximal_only: bool = True) -> DataFrame:
+    """Sets of an analysis: the (maximal) frequent sets of the population and of each cluster, and every single
+    item, once each. Clusters are few; each is mined by itself."""
+    pick = maximal if maximal_only else (lambda sets: sets)
+    out = pick(frequent(tx, support)).select("itemset").unionByName(tx.select(F.explode("items").alias("x")).distinct().select(F.array("x").alias("itemset")))
+    for (lab,) in tx.select(label).na.drop().distinct().orderBy(label).limit(1001).collect():
+        out = out.unionByName(pick(frequent(tx.filter(F.col(label) == lab), support)).select("itemset"))
+    return out.distinct()
+
+
 def support_counts(tx: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
     """Transactions per group that hold all items of a set. Sets are matched through their items: exploded
     items join exploded sets, and a set is held where all its items met."""

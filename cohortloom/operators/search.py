@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -56,11 +57,9 @@ def run_estimates(n: int, epochs: int = 500) -> dict[str, float]:
     return {"training_s": training, "loading_s": loading, "plotting_s": plotting, "job_s": min(1.3 * (training + loading + plotting), 7 * 86_400.0), "memory_mb": min(18_000 + 3.0 * n, 168_000.0)}
 
 
-def plotted_sample(n: int) -> int:
+def plotted_sample(n: str) -> Column:
     """ceil(n ^ (ln 100 / ln 50000)) points are drawn of n."""
-    import math
-
-    return math.ceil(n ** (math.log(100) / math.log(50_000)) - 1e-9)
+    return F.ceil(F.pow(F.col(n), F.lit(math.log(100) / math.log(50_000))) - 1e-9)
 
 
 def best_and_worst(runs: DataFrame, k: int) -> DataFrame:

@@ -48,12 +48,7 @@ def jaccard(table: DataFrame, by: list[str] | None = None) -> DataFrame:
 def adjusted_mutual_info(cells: list[tuple[int, int, int]]) -> float:
     """Adjusted mutual information of a contingency table (a, b, n), arithmetic mean of the entropies. The work
     grows with the number of labels and the root of the number of points."""
-    rows: dict[int, int] = {}
-    cols: dict[int, int] = {}
-    for a, b, n in cells:
-        rows[a] = rows.get(a, 0) + n
-        cols[b] = cols.get(b, 0) + n
-    total = sum(rows.values())
+    rows, cols, total = sums_of(cells)
     if len(rows) == len(cols) and len(rows) in (0, 1, total):
         return 1.0
     h = lambda c: -sum(n / total * math.log(n / total) for n in c.values() if n)
@@ -84,34 +79,48 @@ def mutual_information(table: DataFrame, by: list[str] | None = None) -> DataFra
     return out.select(*by, "ami")
 
 
-def measures_of(cells: list[tuple[int, int, int]]) -> dict[str, float]:
-    """All agreement measures of one contingency table (a, b, n)."""
+def sums_of(cells: list[tuple[int, int, int]]) -> tuple[dict[int, int], dict[int, int], int]:
+    """Row sums, column sums and total of a contingency table."""
     rows: dict[int, int] = {}
     cols: dict[int, int] = {}
     for a, b, n in cells:
         rows[a] = rows.get(a, 0) + n
         cols[b] = cols.get(b, 0) + n
-    total = sum(rows.values())
+    return rows, cols, sum(rows.values())
+
+
+def rand_of(cells: list[tuple[int, int, int]]) -> float:
+    """Adjusted Rand index of a contingency table."""
+    rows, cols, total = sums_of(cells)
     two = lambda counts: sum(n * (n - 1) / 2 for n in counts)
     sa, sb, sab = two(rows.values()), two(cols.values()), two(n for _, _, n in cells)
     expected = sa * sb / two([total]) if total > 1 else 0.0
     gap = (sa + sb) / 2 - expected
-    best_a, best_b = {}, {}
+    return (sab - expected) / gap if gap else 1.0
+
+
+def jaccard_of(cells: list[tuple[int, int, int]]) -> float:
+    """Label-agnostic Jaccard score of a contingency table."""
+    best_a: dict[int, int] = {}
+    best_b: dict[int, int] = {}
     for a, b, n in cells:
         best_a[a], best_b[b] = max(best_a.get(a, 0), n), max(best_b.get(b, 0), n)
-    return {
-        "mutual_info": adjusted_mutual_info(cells),
-        "rand": (sab - expected) / gap if gap else 1.0,
-        "jaccard": min(sum(best_a.values()), sum(best_b.values())) / total,
-    }
+    return min(sum(best_a.values()), sum(best_b.values())) / sum(n for _, _, n in cells)
+
+
+#: Registry of agreement measures that robustness uses: name to a function of the cells of a contingency table.
+#: Entries can be added or replaced.
+MEASURES = {"mutual_info": adjusted_mutual_info, "rand": rand_of, "jaccard": jaccard_of}
 
 
 def all_measures(table: DataFrame, by: list[str]) -> DataFrame:
-    """Every measure of each group's contingency table in one pass: by..., metric, score. A group has at most
-    labels times labels rows."""
+    """Every measure of the registry of each group's contingency table in one pass: by..., metric, score. A
+    group has at most labels times labels rows."""
+    measures = dict(MEASURES)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = measures_of([(int(a), int(b), int(n)) for a, b, n in zip(pdf["a"], pdf["b"], pdf["n"])])
+        cells = [(int(a), int(b), int(n)) for a, b, n in zip(pdf["a"], pdf["b"], pdf["n"])]
+        m = {name: f(cells) for name, f in measures.items()}
         keys = pdf[by].iloc[[0] * len(m)].reset_index(drop=True)
         return keys.assign(metric=list(m), score=[float(v) for v in m.values()])
 
@@ -119,10 +128,6 @@ def all_measures(table: DataFrame, by: list[str]) -> DataFrame:
     return table.groupBy(*by).applyInPandas(work, ", ".join(f"{k} {types[k]}" for k in by) + ", metric string, score double")
 
 
-#: Registry of agreement measures: name to a function of the contingency table.
-MEASURES = {"mutual_info": mutual_information, "rand": rand_index, "jaccard": jaccard}
-
-
 def label_quality(labels: DataFrame, clustering: str = "clustering_id") -> DataFrame:
     """Counts of a labeling: clusters, effective clusters (exponential of the entropy), trivial (one label),
     pseudo-trivial (one label has more than nine tenths)."""
@@ -166,6 +171,25 @@ def run_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     return all_pairs.join(scores, by, "left").withColumn("sim_score", (F.col("ami") + F.col("ari") + F.col("jaccard")) / 3)
 
 
+def pairwise_similarity(labels: DataFrame) -> DataFrame:
+    """Every two clusterings of one table (id, clustering_id, label): left_id < right_id, ami, ari, jaccard,
+    sim_score. The pairs come from the equi-join on the points."""
+    l = labels.select("id", F.col("clustering_id").alias("left_id"), F.col("label").alias("a"))
+    r = labels.select("id", F.col("clustering_id").alias("right_id"), F.col("label").alias("b"))
+    by = ["left_id", "right_id"]
+    t = contingency(l.join(r, "id").filter("left_id < right_id"), by)
+    out = rand_index(t, by).join(jaccard(t, by), by).join(mutual_information(t, by), by)
+    return out.withColumn("sim_score", (F.col("ami") + F.col("ari") + F.col("jaccard")) / 3)
+
+
+def triple_similarity(pairs: DataFrame) -> DataFrame:
+    """Mean score of every three clusterings over their three pairs: first, second, third, sim_score."""
+    ab = pairs.select(F.col("left_id").alias("first"), F.col("right_id").alias("second"), F.col("sim_score").alias("x"))
+    bc = pairs.select(F.col("left_id").alias("second"), F.col("right_id").alias("third"), F.col("sim_score").alias("y"))
+    ac = pairs.select(F.col("left_id").alias("first"), F.col("right_id").alias("third"), F.col("sim_score").alias("z"))
+    return ab.join(bc, "second").join(ac, ["first", "third"]).select("first", "second", "third", ((F.col("x") + F.col("y") + F.col("z")) / 3).alias("sim_score"))
+
+
 def robustness_by_option(scores: DataFrame, quality: DataFrame) -> DataFrame:
     """Robustness measurements by algorithm and option value with the effective cluster count. A clustering id
     is algorithm and option joined by an underscore."""

@@ -124,6 +124,30 @@ def student_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson's correlation of two columns over rows that have both: r, n, and the two-sided p-value."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if a != a or k < 3 else 0.0 if abs(a) >= 1 else student_two_sided(a * math.sqrt((k - 2) / (1 - a * a)), k - 2) for a, k in zip(r, n)], dtype="float64")
+
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).withColumn("p_value", p("r", "n"))
+
+
+def membership_test(codes: DataFrame, enc: DataFrame, label: str) -> DataFrame:
+    """Fisher's test of having a code at all, each cluster against its complement: label, code, a, b, c, d (with
+    and without the code inside, with and without outside) and p_value."""
+    size = enc.groupBy(label).agg(F.count("*").alias("size"))
+    total = enc.agg(F.count("*").alias("n_all"))
+    has = codes.select("enc", "code").na.drop().distinct().join(enc.select("enc", label), "enc").groupBy("code", label).agg(F.count("*").alias("a"))
+    every = has.groupBy("code").agg(F.sum("a").alias("n_code"))
+    t = every.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(total)).join(has, ["code", label], "left")  # codes by clusters
+    a = F.coalesce("a", F.lit(0))
+    cells = t.select(label, "code", a.alias("a"), (F.col("size") - a).alias("b"), (F.col("n_code") - a).alias("c"), (F.col("n_all") - F.col("size") - F.col("n_code") + a).alias("d"))
+    return cells.withColumn("p_value", fisher_p("a", "b", "c", "d"))
+
+
 def student_quantile(p: float, df: float) -> float:
     """Quantile above the median, by bisection."""
     lo, hi = 0.0, 1e6

@@ -37,3 +37,10 @@ def node_code(col: str):
     """Code at the start of a node's title; null without one."""
     found = F.regexp_extract(col, r"^[0-9VE][0-9]\S*", 0)
     return F.when(found != "", found)
+
+
+def styled(resolved: DataFrame, styles: DataFrame) -> DataFrame:
+    """Adds short and colour of a code's category (column ancestor) from a table (category, short, colour): the
+    category's own name where it has no short one, null where it has no colour."""
+    s = styles.groupBy(F.col("category").alias("ancestor")).agg(F.min("short").alias("short"), F.min("colour").alias("colour"))
+    return resolved.join(s, "ancestor", "left").withColumn("short", F.coalesce("short", "ancestor"))

@@ -13,9 +13,6 @@ from cohortloom.plans.registry import query
 from cohortloom.plans.views import ADM, EV, EVD, MIN, adm, ev, evd, minutes
 from cohortloom.sources.tables import table
 
-TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 def _types(spark: SparkSession, d: str) -> list[str]:
     """The item list: a dictionary of a few values, refused beyond 1000."""
     rows = ev(spark, d).select("item").na.drop().distinct().orderBy("item").limit(1001).collect()
@@ -24,10 +21,11 @@ def _types(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in rows]
 
 
-@query(f"""with {EV} select enc, date_trunc('hour', ts) as ts, {', '.join(f"round(avg(value) filter (item = '{t}'), 6) as {t}" for t in TYPES)} from ev group by 1, 2""")
+@query(f"pivot (with {EV} select enc, date_trunc('hour', ts) as ts, item, value from ev) on item using round(avg(value), 6) group by enc, ts")
 def event_pivot_mean(spark: SparkSession, d: str) -> DataFrame:
+    items = _types(spark, d)
     hourly = ev(spark, d).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return E.pivot_mean(hourly, TYPES).select("enc", "ts", *[F.round(t, 6).alias(t) for t in TYPES])
+    return E.pivot_mean(hourly, items).select("enc", "ts", *[F.round(t, 6).alias(t) for t in items])
 
 
 @query(f"""with {EVD} select enc, item, ts, round(coalesce(avg(value) filter (trusted), avg(value) filter (not trusted)), 6) as value from evd where value is not null group by 1, 2, 3""")
@@ -174,20 +172,11 @@ def series_stats_partitioned(spark: SparkSession, d: str) -> DataFrame:
     return S.partition_stats(minutes(spark, d), 3, order=("t", "event_id")).withColumn("mean", F.round("mean", 6))
 
 
-@query(
-    f"""with {EV}, s as (select enc, round(quantile_cont(value, 0.5), 6) as median, min(value) as low, max(value) as high from ev where item = 'error' and value > 95 group by enc)
-select e.enc, s.median, s.low, s.high from (select distinct enc from ev) e left join s using (enc)"""
-)
-def series_stats_median(spark: SparkSession, d: str) -> DataFrame:
-    e = ev(spark, d)
-    return S.series_stats(e.filter("item = 'error' and value > 95"), e).withColumn("median", F.round("median", 6))
-
-
 @query(
     f"""with {EV}, s as (select enc, item, round(quantile_cont(value, 0.5), 6) as median, min(value) as low, max(value) as high from ev group by enc, item)
 select e.enc, i.item, s.median, s.low, s.high from (select distinct enc from ev) e cross join (select distinct item from ev) i left join s on s.enc = e.enc and s.item = i.item"""
 )
-def series_stats_by_signal(spark: SparkSession, d: str) -> DataFrame:
+def series_stats_median(spark: SparkSession, d: str) -> DataFrame:
     """Level and range of each series over all events."""
     e = ev(spark, d)
     return S.signal_stats(e, e, e).withColumn("median", F.round("median", 6))

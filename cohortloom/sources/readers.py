@@ -48,9 +48,13 @@ class FrameExtractor:
         return item
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options) -> DataFrame:
-    """A database table, read in parallel ranges of a key; filters and columns are pushed down."""
-    r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+def jdbc_table(spark: SparkSession, url: str, table: str | None = None, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, query: str | None = None, **options) -> DataFrame:
+    """A database table, or the result of a query, read in parallel ranges of a key; filters and columns are
+    pushed down. Give one of table and query."""
+    if (table is None) == (query is None):
+        raise ValueError("give one of table and query")
+    source = table if query is None else f"({query.strip().rstrip(';')}) t"
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", source).options(**options)
     if key:
         r = r.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
     return nan_to_null(r.load())
@@ -68,6 +72,20 @@ def read_through(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of a table that sinks.upsert_parquet keeps, None where there is none."""
+    n = current_version(spark, path)
+    return spark.read.parquet(f"{path}/v{n}") if n else None
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """Highest version that was marked as whole, 0 if none is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return max([int(n[9:]) for n in names if n.startswith("_current-") and n[9:].isdigit()], default=0)
+
+
 def read_or_none(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
     """A table, or None where there is none."""
     return spark.read.format(kind).load(path) if exists(spark, path) else None

@@ -41,19 +41,56 @@ def text(df: DataFrame, path: str, column: str) -> None:
 
 
 def upsert_parquet(new: DataFrame, path: str, key: str) -> None:
-    """Upsert of a keyed Parquet table: written beside the old table, then put in its place."""
+    """Upsert of a keyed Parquet table, read by readers.read_upserted. A new version is written beside the old
+    one and marked when it is whole; only then the old one goes. A crash leaves one or the other."""
     from cohortloom.operators.features import upsert
-    from cohortloom.sources.readers import exists
+    from cohortloom.sources.readers import current_version
 
     spark = new.sparkSession
-    if not exists(spark, path):
-        new.write.parquet(path)
-        return
-    upsert(new, spark.read.parquet(path), key).write.mode("overwrite").parquet(f"{path}.next")
+    n = current_version(spark, path)
+    rows = upsert(new, spark.read.parquet(f"{path}/v{n}"), key) if n else new
+    rows.write.mode("overwrite").parquet(f"{path}/v{n + 1}")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(f"{path}.next"), fs_path(path))
+    fs.create(fs_path(f"{path}/_current-{n + 1}"), True).close()
+    if n:
+        fs.delete(fs_path(f"{path}/_current-{n}"), False)
+        fs.delete(fs_path(f"{path}/v{n}"), True)
+
+
+def named_files(texts: DataFrame, folder: str, most: int = 1_000) -> None:
+    """One file for each row (name, text) of a small table; more than ``most`` rows are refused."""
+    rows = texts.select("name", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} files: write a table instead")
+    spark = texts.sparkSession
+    for name, body in rows:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(body or "", "utf-8"))
+        out.close()
+
+
+def latex_table(rows: DataFrame, digits: int = 3, most: int = 1_000) -> str:
+    """A small report table as a LaTeX tabular: numbers with a number of digits, missing cells as dashes."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: this is a table for a page")
+    cell = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", "\\_").replace("%", "\\%").replace("&", "\\&")
+    lines = [" & ".join(map(cell, r)) + " \\\\" for r in [rows.columns, *found]]
+    return "\n".join(["\\begin{tabular}{" + "l" * len(rows.columns) + "}", lines[0], "\\hline", *lines[1:], "\\end{tabular}"])
+
+
+def itemset_tables(enriched: DataFrame, folder: str, label: str) -> None:
+    """The tables of an itemset analysis: all sets, the significant ones by cluster (clusters without any get
+    no file), and the listing as text."""
+    from cohortloom.operators.itemsets import itemset_text, listing
+
+    flat = enriched.withColumn("itemset", itemset_text())
+    csv_table(flat, f"{folder}/all")
+    csv_by(flat.filter("significant"), f"{folder}/significant", label)
+    shown = listing(enriched, label).withColumn("line", F.format_string("%s: %s support %.3f against %.3f (p = %.2e)", F.col(label).cast("string"), itemset_text(), "support", "complement_support", "p_value"))
+    text(shown.orderBy(label, "place"), f"{folder}/text", "line")
 
 
 def support_statistics(support: DataFrame, path: str) -> None:

@@ -18,7 +18,7 @@ def test_stream_keeps_features(spark, tmp_path):
     def add(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         keep_features(spark.readStream.schema(schema).parquet(src), mean, out, str(tmp_path / "cp")).awaitTermination()
-        return {r.enc: r["mean"] for r in spark.read.parquet(out).collect()}
+        return {r.enc: r["mean"] for r in R.read_upserted(spark, out).collect()}
 
     assert add([(1, 2.0), (1, 4.0), (2, 5.0)]) == {1: 3.0, 2: 5.0}
     assert add([(2, 9.0), (3, 7.0)]) == {1: 3.0, 2: 5.0, 3: 7.0}
@@ -55,9 +55,106 @@ def test_small_helpers(spark, tmp_path):
     assert [x[0] for x in spark.range(1).select(E.overlap(F.lit(1), F.lit(5), F.lit(4), F.lit(9))).collect()] == [2]
     d = spark.createDataFrame([(1, "training", 0.5), (2, "validation", 3.0)], "enc int, split string, days_in_care double")
     assert C.in_split(d, "validation").count() == 1 and C.in_split(d, "bed_and_breakfast").count() == 1 and C.in_split(d, "all").count() == 2
-    assert C.sample_with_replacement(spark.range(1000), 1.0, 3).count() > 800
+    drawn = C.sample_with_replacement(spark.range(1000), "id", 1000, 3)
+    assert drawn.count() == 1000 and 550 < drawn.select("id").distinct().count() < 700
+    assert C.sample_with_replacement(spark.range(0), "id", 10, 3).count() == 0
     (tmp_path / "cci.csv").write_text("'title',,\n'CODE','NAME','CHRONIC'\n'0010 ','x','0'\n'0011 ','y','1'\n")
     assert {x.code: x.chronic for x in R.chronic_codes(spark, str(tmp_path / "cci.csv")).collect()} == {"0010": False, "0011": True}
     S.support_statistics(spark.createDataFrame([("a", 0.2), ("b", 0.9)], "item string, support double"), str(tmp_path / "s"))
     S.projection_json(spark.createDataFrame([(1, 2, [0.1, 0.2, 0.3])], "id int, label int, features array<double>"), str(tmp_path / "p"))
     assert spark.read.json(str(tmp_path / "p")).head().z == 0.3
+
+
+def test_trees_of_selections_and_classifiers(spark):
+    """The selection that holds the rule finds it; missing cells are a value of their own."""
+    import random
+
+    from cohortloom.operators import features as P
+
+    r = random.Random(1)
+    rows = []
+    for i in range(600):
+        a, b = r.random(), r.random()
+        rows.append((i, int(a > 0.5), [None if a > 0.5 and i % 3 == 0 else a], [b, r.random()]))
+    df = spark.createDataFrame(rows, "id bigint, y int, told array<double>, noise array<double>")
+    got = P.tree_selections(df, "y", {"told": ["told"], "noise": ["noise"], "both": ["noise", "told"]}, depths=(4,), gains=(2**-4,)).collect()
+    assert {x.selection for x in got} == {"told", "both"} and all(x.accuracy > 0.99 for x in got)
+    x = spark.createDataFrame([(i, [float(y), r.gauss(0, 1)], y, 1, int(r.random() < 0.5)) for i, y in ((i, i % 2) for i in range(300))], "id bigint, features array<double>, sure int, one int, chance int")
+    c = {q.target: q for q in P.classify_each(x, x, ["sure", "one", "chance"]).collect()}
+    assert set(c) == {"sure", "chance"} and c["sure"].f1 > 0.99 and c["chance"].auc < 0.7
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from cohortloom.functions.quantiles import quantiles
+
+    r = np.random.default_rng(2)
+    rows = [(g, None if r.random() < 0.1 else float(np.round(r.normal() * 10 ** (g % 3), 1))) for g in (1, 2, 3) for _ in range(400)] + [(4, None), (5, 7.0)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    levels = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    got = {x.g: x.q for x in quantiles(df, "x", levels, ["g"]).collect()}
+    for g in (1, 2, 3, 5):
+        assert np.allclose(got[g], np.quantile([x for k, x in rows if k == g and x is not None], levels))
+    assert 4 not in got
+    assert np.allclose(quantiles(df, "x", levels).head().q, np.quantile([x for _, x in rows if x is not None], levels))
+    assert quantiles(df.filter("g = 4"), "x", levels).count() == 0 or quantiles(df.filter("g = 4"), "x", levels).head().q in (None, [])
+
+
+def test_many_pieces(spark, monkeypatch):
+    """Two levels of cuts, as on clusters with many cores."""
+    from cohortloom.functions import spread
+
+    df = spark.createDataFrame([(i % 3, float(i * 7 % 501), 1) for i in range(1500)], "g int, t double, one int")
+    want = {(x.g, x.t, x.below) for x in spread.running_total(df, "t", {"one": "below"}, ["g"]).collect()}
+    monkeypatch.setattr(spread, "PIECES", 2)
+    assert {(x.g, x.t, x.below) for x in spread.running_total(df, "t", {"one": "below"}, ["g"]).collect()} == want
+
+
+def test_registry_of_measures(spark, monkeypatch):
+    """Robustness reads the registry."""
+    from cohortloom.operators import similarity as A
+
+    t = spark.createDataFrame([("c", 1, 1, 5), ("c", 2, 2, 5), ("c", 1, 2, 1)], "k string, a int, b int, n bigint")
+    monkeypatch.setitem(A.MEASURES, "largest", lambda cells: float(max(n for _, _, n in cells)))
+    got = {r.metric: r.score for r in A.all_measures(t, ["k"]).collect()}
+    assert set(got) == {"mutual_info", "rand", "jaccard", "largest"} and got["largest"] == 5.0
+    assert abs(got["rand"] - A.rand_index(t).head()[0]) < 1e-12 and abs(got["jaccard"] - A.jaccard(t).head()[0]) < 1e-12 and abs(got["mutual_info"] - A.mutual_information(t).head()[0]) < 1e-12
+
+
+def test_fisher_against_all_tables():
+    import math
+    import random
+
+    from cohortloom.operators.stats import fisher_exact
+
+    def brute(a, b, c, d):
+        lp = lambda x: math.log(math.comb(a + b, x)) + math.log(math.comb(c + d, a + c - x))
+        all_ = [lp(x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+        total = sum(map(math.exp, all_))
+        return min(1.0, sum(math.exp(p) for p in all_ if p <= lp(a) + 1e-7) / total)
+
+    r = random.Random(1)
+    for _ in range(400):
+        t = [r.randint(0, r.choice([2, 15, 90])) for _ in range(4)]
+        assert abs(fisher_exact(*t) - brute(*t)) < 1e-9
+    assert fisher_exact(10**7, 10**7, 10**7, 10**7) == 1.0 and abs(fisher_exact(10**6 + 3000, 10**6, 10**6, 10**6) - math.erfc(1.5 / 2**0.5)) < 0.001
+
+
+def test_likelihood_of_components(spark):
+    """Equal to the density of the normal distribution that the components describe."""
+    import numpy as np
+
+    from cohortloom.operators.features import Components
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 4)) @ np.diag([5.0, 3.0, 0.5, 0.5])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    got = Components(2).fit(df).log_likelihood(df).head()[0]
+    s = np.cov(x.T)
+    vals, vecs = np.linalg.eigh(s)
+    vals[:2] = vals[:2].mean()
+    c = vecs @ np.diag(vals) @ vecs.T
+    z = x - x.mean(0)
+    want = np.mean([-0.5 * (4 * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + v @ np.linalg.solve(c, v)) for v in z])
+    assert abs(got - want) < 1e-6

@@ -29,8 +29,35 @@ def test_read_through_and_upsert(spark, tmp_path):
 
     assert R.read_or_none(spark, p) is None
     assert R.read_through(spark, p, make).count() == 2 and R.read_through(spark, p, make).count() == 2 and len(calls) == 1
-    S.upsert_parquet(spark.createDataFrame([(2, "c"), (3, "d")], "id bigint, v string"), p, "id")
-    assert {(r.id, r.v) for r in spark.read.parquet(p).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    q = str(tmp_path / "u")
+    assert R.read_upserted(spark, q) is None
+    S.upsert_parquet(make(), q, "id")
+    S.upsert_parquet(spark.createDataFrame([(2, "c"), (3, "d")], "id bigint, v string"), q, "id")
+    assert {(r.id, r.v) for r in R.read_upserted(spark, q).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert sorted(x.name for x in (tmp_path / "u").iterdir() if not x.name.startswith(".")) == ["_current-2", "v2"]
+    (tmp_path / "u" / "v3").mkdir()  # a version that was never marked as whole
+    assert R.read_upserted(spark, q).count() == 3
+
+
+def test_report_files(spark, tmp_path):
+    t = spark.createDataFrame([("a_b", 1.23456), ("50%", None)], "name string, x double")
+    assert S.latex_table(t, 2) == "\\begin{tabular}{ll}\nname & x \\\\\n\\hline\na\\_b & 1.23 \\\\\n50\\% & -- \\\\\n\\end{tabular}"
+    e = spark.createDataFrame([(1, ["x", "y"], 0.5, 0.1, 5.0, 1e-9, True), (2, ["x"], 0.3, 0.3, 1.0, 0.9, False)], "lab int, itemset array<string>, support double, complement_support double, factor double, p_value double, significant boolean")
+    S.itemset_tables(e, str(tmp_path), "lab")
+    assert spark.read.option("header", True).csv(str(tmp_path / "all")).count() == 2
+    assert [x.name for x in (tmp_path / "significant").iterdir() if x.name.startswith("lab")] == ["lab=1"]
+    assert spark.read.text(str(tmp_path / "text")).head()[0].startswith("1: (2) [x, y] support 0.500")
+
+
+def test_jdbc_source_is_a_table_or_a_query(spark):
+    for args in ({}, {"table": "a", "query": "select 1"}):
+        with pytest.raises(ValueError, match="one of"):
+            R.jdbc_table(spark, "jdbc:x", **args)
+
+
+def test_named_files_are_few(spark, tmp_path):
+    with pytest.raises(ValueError, match="more than"):
+        S.named_files(spark.range(5).selectExpr("cast(id as string) as name", "'' as text"), str(tmp_path), 4)
 
 
 def test_sinks(spark, tmp_path):

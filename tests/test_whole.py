@@ -30,7 +30,7 @@ def test_padding_cuts_nothing(spark):
 def test_support_of_sets_of_any_size(spark):
     import cohortloom.plans.report_plans as Q
 
-    got = Q.itemset_support_all(spark, "/root/testdata/sf0.001").collect()
+    got = Q.itemset_support(spark, "/root/testdata/sf0.001").collect()
     assert max(r.itemset.count("|") + 1 for r in got) > 2
     assert len({r.itemset for r in got if r.itemset.count("|") == 2}) == 20
 
