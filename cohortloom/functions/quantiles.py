@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.spread import running_total, settled
+from cohortloom.functions.spread import any_long, running_total, settled
 
 
 def quantiles(df: DataFrame, value: str, levels: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., q (array in the order of ``levels``). Nulls do not count;
     a group without values has no row, no group at all a row with a null.
 
-    Equal values are counted first; running sums over the counts, spread over tasks, give each value its ranks,
-    and the values at the wanted ranks are picked. No task holds the values of a group.
+    Groups of at most LONG rows take the built-in aggregate. Else equal values are counted first; running sums over the counts, spread over tasks, give each value its ranks,
+    and the values at the wanted ranks are picked. No task holds the values of a longer group. Rows with a null in
+    a key of the group are left out.
     """
     by = by or []
-    counts = settled(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    seen = settled(df.select(*by, F.col(value).cast("double").alias("_v")).na.drop())
+    if not any_long(seen, by):
+        return seen.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in levels])).alias("q"))
+    counts = settled(seen.groupBy(*by, "_v").agg(F.count("*").alias("_n")))
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     placed = running_total(counts, "_v", {"_n": "_below"}, by)
     placed = placed.join(total, by) if by else placed.crossJoin(F.broadcast(total))  # one row

@@ -1,10 +1,11 @@
 """Window functions over groups that may hold most of all rows.
 
-The rows of a group are cut into pieces at approximate quantiles of the order; every piece is a window of its
+Where every group has at most LONG rows (they are counted first) it is a window as it is. Else the rows of a group are cut into pieces at approximate quantiles of the order; every piece is a window of its
 own, and what a piece needs from the others (sums, the last row before it, the first one after it) is taken
 from one summary row for each piece. Results are exact wherever the cuts lie. The join with the summary uses
-the same keys as the window, so rows are shuffled once. The input is read three times (cuts, summary, rows), so
-one that takes more than a scan is written to the shared folder first.
+the same keys as the window, so rows are shuffled once. The input is read several times (counts, cuts, summary,
+rows), so one that takes more than a scan is written to the shared folder first. Rows with a null in a key of the
+group are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,17 @@ from cohortloom.sources.tables import shared_folder
 PIECES = 64
 
 
+#: Rows of a group that one task takes.
+LONG = 1 << 17
+
+
+def any_long(df: DataFrame, by: list[str]) -> bool:
+    """Whether a group has more than LONG rows."""
+    if not by:
+        return df.limit(LONG + 1).count() > LONG
+    return not df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > LONG).isEmpty()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows as a table of the shared folder, unless they come from a scan without any shuffle."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -48,7 +60,11 @@ def running_total(df: DataFrame, order: str, sums: dict[str, str], by: list[str]
     """Adds sums over the rows that come before, by ``order`` and ``ties``, per ``by``. ``sums`` names the new
     column of each summed column."""
     by = by or []
-    keyed = pieces(settled(df), order).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
+    df = settled(df.na.drop(subset=by) if by else df)
+    if not any_long(df, by):
+        w = Window.partitionBy(*by).orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for c, o in sums.items()})
+    keyed = pieces(df, order).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
     totals = keyed.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_s_{o}") for c, o in sums.items()])
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(*by, "_p", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums.values()])
@@ -65,7 +81,15 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], fields: list[str]
     there = F.lit(True) if where is None else where
     names = list(dict.fromkeys([*order, *fields]))
     row = F.when(there, F.struct(*names))
-    keyed = pieces(settled(df), order[0]).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
+    df = settled(df.na.drop(subset=by))
+    step = 0 if current else 1
+    if not any_long(df, by):
+        w = Window.partitionBy(*by).orderBy(*order)
+        new = {before: F.last(row, True).over(w.rowsBetween(Window.unboundedPreceding, -step))} if before else {}
+        if after:
+            new[after] = F.first(row, True).over(w.rowsBetween(step, Window.unboundedFollowing))
+        return df.withColumns(new)
+    keyed = pieces(df, order[0]).repartition(*by, "_p")  # else a coarser partitioning from before would be kept
     summary = keyed.groupBy(*by, "_p").agg(F.max(row).alias("_last"), F.min(row).alias("_first"))
     w = Window.partitionBy(*by).orderBy("_p")
     edges = summary.select(
@@ -75,7 +99,6 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], fields: list[str]
         F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
     )
     inside = Window.partitionBy(*by, "_p").orderBy(*order)
-    step = 0 if current else 1
     out = keyed
     if before:
         out = out.withColumn(before, F.last(row, True).over(inside.rowsBetween(Window.unboundedPreceding, -step)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.functions.spread import settled
 from cohortloom.operators import fusion as M
 from cohortloom.operators import recon as R
 from cohortloom.operators import scaling as Z
@@ -75,7 +76,7 @@ def mask_value(spark: SparkSession, d: str) -> DataFrame:
 select enc, item, t, round(coalesce(value, median), 6) as value from interp join med using (item)"""
 )
 def train_median_fill(spark: SparkSession, d: str) -> DataFrame:
-    filled = S.interpolate(grid(spark, d))
+    filled = settled(S.interpolate(grid(spark, d)))  # read for the medians and for the result
     return Z.fill_medians(filled, Z.medians(filled.filter(_TRAIN))).select("enc", "item", "t", F.round("value", 6).alias("value"))
 
 

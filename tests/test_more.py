@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import cohort as C
@@ -84,11 +85,14 @@ def test_trees_of_selections_and_classifiers(spark):
     assert set(c) == {"sure", "chance"} and c["sure"].f1 > 0.99 and c["chance"].auc < 0.7
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("long", [1 << 17, 20])
+def test_quantiles_are_exact(spark, monkeypatch, long):
     import numpy as np
 
+    from cohortloom.functions import spread
     from cohortloom.functions.quantiles import quantiles
 
+    monkeypatch.setattr(spread, "LONG", long)
     r = np.random.default_rng(2)
     rows = [(g, None if r.random() < 0.1 else float(np.round(r.normal() * 10 ** (g % 3), 1))) for g in (1, 2, 3) for _ in range(400)] + [(4, None), (5, 7.0)]
     df = spark.createDataFrame(rows, "g int, x double")
@@ -105,10 +109,20 @@ def test_many_pieces(spark, monkeypatch):
     """Two levels of cuts, as on clusters with many cores."""
     from cohortloom.functions import spread
 
-    df = spark.createDataFrame([(i % 3, float(i * 7 % 501), 1) for i in range(1500)], "g int, t double, one int")
-    want = {(x.g, x.t, x.below) for x in spread.running_total(df, "t", {"one": "below"}, ["g"]).collect()}
+    df = spark.createDataFrame([(i % 3 or None, float(i * 7 % 501), i % 5, i if i % 4 else None) for i in range(1500)], "g int, t double, one int, i int")
+
+    def both():
+        total = {tuple(x) for x in spread.running_total(df, "t", {"one": "below"}, ["g"], ["i"]).collect()}
+        near = {tuple(x) for x in spread.neighbours(df.na.drop(), ["g"], ["t", "i"], ["i"], F.col("i") % 3 == 0, "b", "a", current=False).collect()}
+        alone = {tuple(x) for x in spread.running_total(df, "t", {"one": "below"}, None, ["g", "i"]).collect()}
+        return total, near, alone
+
+    want = both()  # plain windows
+    assert len(want[0]) > 900 and len(want[1]) > 500
+    monkeypatch.setattr(spread, "LONG", 10)
+    assert both() == want  # pieces
     monkeypatch.setattr(spread, "PIECES", 2)
-    assert {(x.g, x.t, x.below) for x in spread.running_total(df, "t", {"one": "below"}, ["g"]).collect()} == want
+    assert both() == want  # pieces by two levels of cuts
 
 
 def test_registry_of_measures(spark, monkeypatch):
