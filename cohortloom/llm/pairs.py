@@ -30,29 +30,29 @@ _SCORES = "code_a string, code_b string, n_ab bigint, n_a bigint, n_b bigint, v
 
 
 def code_baskets(diagnoses: DataFrame | None, procedures: DataFrame | None) -> DataFrame:
-    """Distinct (basket, item): codes in capitals without dot and blanks, 'd:' before diagnoses and 'p:'
-    before procedures. Null and empty codes and null encounters are dropped."""
+    """Rows (basket, item): codes in capitals without dot and blanks, 'd:' before diagnoses and 'p:' before
+    procedures. Null and empty codes and null encounters are dropped; repeated rows stay."""
     parts = []
     for df, prefix in ((diagnoses, "d:"), (procedures, "p:")):
         if df is not None:
             code = F.upper(F.regexp_replace("icd9_code", "[.\\s\\u00A0]", ""))
             parts.append(df.select(F.col("hadm_id").alias("basket"), code.alias("code")).filter("basket is not null and code <> ''").select("basket", F.concat(F.lit(prefix), "code").alias("item")))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.distinct()
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def changed_baskets(before: DataFrame | None, after: DataFrame) -> DataFrame:
     """Baskets whose items differ: basket, items (sorted array of item, old, new), old and new as 0 or 1.
 
-    Both inputs hold distinct (basket, item); before may be None. A basket is an array of its distinct items,
-    so its size is bounded by the number of items there are, however often they repeat.
+    Both inputs hold (basket, item), repeated rows count once; before may be None. A basket is an array of its
+    distinct items, so its size is bounded by the number of items there are, however often they repeat.
     """
     marked = after.select("basket", "item", F.lit(0).alias("old"), F.lit(1).alias("new"))
     if before is not None:
         marked = marked.unionByName(before.select("basket", "item", F.lit(1).alias("old"), F.lit(0).alias("new")))
-        marked = marked.groupBy("basket", "item").agg(F.max("old").alias("old"), F.max("new").alias("new"))
     return (
-        marked.groupBy("basket")
+        marked.groupBy("basket", "item")
+        .agg(F.max("old").alias("old"), F.max("new").alias("new"))
+        .groupBy("basket")
         .agg(F.sort_array(F.collect_list(F.struct("item", "old", "new"))).alias("items"), F.max(F.abs(F.col("old") - F.col("new"))).alias("differs"))
         .filter("differs = 1")
         .drop("differs")
@@ -176,8 +176,8 @@ class PairTable:
     def update(self, before: DataFrame | None, after: DataFrame) -> None:
         """Merge the change from ``before`` to ``after`` into the counts and compute the affected scores.
 
-        Both hold distinct (basket, item) rows without nulls, as code_baskets gives them; either may be empty,
-        ``before`` may be None. Equal tables change nothing; a basket of one item counts only for its item.
+        Both hold (basket, item) rows without nulls, as code_baskets gives them; repeated rows count once; either
+        may be empty, ``before`` may be None. Equal tables change nothing; a basket of one item counts only for its item.
         """
         v = self.version + 1
         root = f"{self.folder}/v{v}"
