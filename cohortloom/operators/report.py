@@ -42,6 +42,25 @@ def full_summary(enc: DataFrame, label: str, numbers: list[str], flags: list[str
     return g.select((F.col("_g") == 1).alias("population"), label, "size", *parts, *[f"{f}_share" for f in flags])
 
 
+def listed(values: DataFrame, label: str, value: str, k: int) -> DataFrame:
+    """The k most frequent values of the population and of each cluster as one text, 'value (n); ...', ties by the
+    value: population, label, text."""
+    seen = values.filter(F.col(value).isNotNull())
+    n = seen.groupingSets([[F.col(value)], [F.col(label), F.col(value)]], F.col(label), F.col(value)).agg(F.count("*").alias("n"), F.grouping(label).alias("_g"))
+    place = F.row_number().over(Window.partitionBy("_g", label).orderBy(F.desc("n"), value))
+    best = n.withColumn("_p", place).filter(F.col("_p") <= k)
+    items = F.sort_array(F.collect_list(F.struct("_p", F.format_string("%s (%d)", F.col(value), "n").alias("t"))))
+    return best.groupBy((F.col("_g") == 1).alias("population"), label).agg(F.array_join(F.transform(items, lambda x: x["t"]), "; ").alias("text"))
+
+
+def with_lists(summary: DataFrame, label: str, lists: dict[str, DataFrame]) -> DataFrame:
+    """A summary (population, label, ...) with the texts of listed beside it, one column for each name."""
+    for name, part in lists.items():
+        right = part.select(F.col("population").alias("_p"), F.col(label).alias("_l"), F.col("text").alias(name))
+        summary = summary.join(right, (F.col("population") == F.col("_p")) & F.col(label).eqNullSafe(F.col("_l")), "left").drop("_p", "_l")
+    return summary
+
+
 def mortality_interval(enc: DataFrame, label: str, died: str) -> DataFrame:
     """Mortality with its standard error and, where it is neither 0 nor 1, the half width of the 95 % Student
     interval."""

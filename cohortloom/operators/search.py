@@ -37,6 +37,27 @@ def to_bool(col: str) -> Column:
     return F.lower(F.col(col)) == "true"
 
 
+def routed(args: DataFrame, prefixes: list[str], rest: str = "general") -> DataFrame:
+    """Arguments (run, arg, value) by the part they belong to: group, the longest of the prefixes that the name
+    starts with and an underscore (``rest`` if none), and name, what follows it."""
+    group = F.lit(rest)
+    for p in sorted(prefixes, key=len):
+        group = F.when(F.col("arg").startswith(f"{p}_"), p).otherwise(group)
+    name = F.when(F.col("group") == rest, F.col("arg")).otherwise(F.expr("substring(arg, length(group) + 2)"))
+    return args.withColumn("group", group).withColumn("name", name).drop("arg")
+
+
+def options(kind: type, values: dict[str, str]):
+    """A dataclass from texts by the types of its fields' defaults; a name that it does not have is an error."""
+    import dataclasses
+
+    fields = {f.name: f for f in dataclasses.fields(kind)}
+    if unknown := set(values) - set(fields):
+        raise ValueError(f"no such option: {', '.join(sorted(unknown))}")
+    read = lambda t, v: v.lower() == "true" if t is bool else t(v)
+    return kind(**{k: read(type(fields[k].default), v) for k, v in values.items()})
+
+
 def sample_runs(space: dict[str, list], n: int, seed: int) -> list[dict]:
     """Random search: n settings, each argument drawn from its values."""
     r = random.Random(seed)

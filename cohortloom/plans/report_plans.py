@@ -341,6 +341,34 @@ def hospital_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: F.round(c, 6) for c in s.columns if c not in ("population", "station", "size")})
 
 
+def _listed(rows: str, value: str, k: int) -> str:
+    """The texts of R.listed in SQL."""
+    return f"""(select population, station, string_agg(format('{{}} ({{}})', v, n), '; ' order by place) as text from
+  (select *, row_number() over (partition by population, station order by n desc, v) as place from
+    (select grouping(station) = 1 as population, station, {value} as v, count(*) as n from {rows} where {value} is not null group by grouping sets ((v), (station, v)))) where place <= {k} group by 1, 2)"""
+
+
+@query(
+    f"""with {_HOSPITAL}, texts as (select r.station, a.diagnosis from r join admissions a using (hadm_id)), units as (select r.station, i.first_careunit as unit from r join icustays i using (hadm_id)),
+s as (select grouping(station) = 1 as population, station, count(*) as size, round(100.0::double * count(*) / max(count(*)) over (), 6) as percent, round(avg(cast(died_28 as int)), 6) as died_28,
+  round(stddev_samp(cast(died_28 as int)) / sqrt(count(died_28)), 6) as died_28_se from r group by grouping sets ((), (station)))
+select s.*, d.text as diagnoses, u.text as units from s left join {_listed('texts', 'diagnosis', 5)} d on d.population = s.population and d.station is not distinct from s.station
+left join {_listed('units', 'unit', 20)} u on u.population = s.population and u.station is not distinct from s.station"""
+)
+def hospital_report(spark: SparkSession, d: str) -> DataFrame:
+    """Size, mortality with its error, most frequent diagnoses and stations of the population and each cluster."""
+    from pyspark.sql.window import Window
+
+    r = hospital_records(spark, d)
+    died = F.col("died_28").cast("int")
+    s = r.groupingSets([[], [F.col("station")]], F.col("station")).agg(F.count("*").alias("size"), F.round(F.avg(died), 6).alias("died_28"), F.round(F.stddev_samp(died) / F.sqrt(F.count(died)), 6).alias("died_28_se"), F.grouping("station").alias("g"))
+    s = s.withColumn("percent", F.round(100.0 * F.col("size") / F.max("size").over(Window.partitionBy()), 6)).withColumn("population", F.col("g") == 1).drop("g")  # a row for each cluster
+    label = r.select("hadm_id", "station")
+    texts = label.join(table(spark, d, "admissions").select("hadm_id", "diagnosis"), "hadm_id")
+    units = label.join(table(spark, d, "icustays").select("hadm_id", F.col("first_careunit").alias("unit")), "hadm_id")
+    return R.with_lists(s, "station", {"diagnoses": R.listed(texts, "station", "diagnosis", 5), "units": R.listed(units, "station", "unit", 20)})
+
+
 @query(
     """with icu as (select hadm_id, min(first_careunit) as station from icustays group by 1), g as (select itemid from grid_items),
 med as (select c.hadm_id, c.itemid, quantile_cont(c.valuenum, 0.5) as v from chartevents c join g using (itemid) where valuenum is not null group by 1, 2),

@@ -92,6 +92,17 @@ def spread_positions(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in K.spread_positions(n)], "pos bigint")
 
 
+@query(
+    """with x as (select o_orderkey as run, unnest(['prep_share', 'model_layers', 'model_prep_rate', 'seed']) as arg, unnest([o_orderstatus, o_orderstatus, o_orderpriority, cast(o_custkey as varchar)]) as value from orders)
+select run, value, case when arg like 'prep@_%' escape '@' then 'prep' when arg like 'model@_%' escape '@' then 'model' else 'general' end as "group", regexp_replace(arg, '^(prep|model)_', '') as name from x"""
+)
+def routed_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options of runs by the part that their prefix names."""
+    pairs = [("prep_share", "o_orderstatus"), ("model_layers", "o_orderstatus"), ("model_prep_rate", "o_orderpriority"), ("seed", "o_custkey")]
+    x = F.explode(F.array(*[F.struct(F.lit(a).alias("arg"), F.col(c).cast("string").alias("value")) for a, c in pairs]))
+    return H.routed(table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), x.alias("x")).select("run", "x.*"), ["prep", "model"])
+
+
 @query("select o_orderkey as run, o_totalprice as price, case when o_orderstatus = 'F' then 1.0::double else 0.0 end as \"status=F\", case when o_orderstatus = 'O' then 1.0::double else 0.0 end as \"status=O\" from orders")
 def one_hot_args(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))

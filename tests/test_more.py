@@ -172,3 +172,12 @@ def test_likelihood_of_components(spark):
     z = x - x.mean(0)
     want = np.mean([-0.5 * (4 * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + v @ np.linalg.solve(c, v)) for v in z])
     assert abs(got - want) < 1e-6
+
+
+def test_options_of_a_part():
+    from cohortloom.operators.chart import ChartParams
+
+    p = H.options(ChartParams, {"limit": "7.5", "frozen": "9"})
+    assert (p.limit, p.frozen, p.longest) == (7.5, 9, 3)
+    with pytest.raises(ValueError, match="limits"):
+        H.options(ChartParams, {"limits": "1"})
