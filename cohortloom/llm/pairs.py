@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.sources.tables import shared_folder
@@ -181,12 +181,11 @@ class PairTable:
         """
         v = self.version + 1
         root = f"{self.folder}/v{v}"
-        seen = Observation()
-        count_deltas(changed_baskets(before, after)).observe(seen, F.count("code_b").alias("pairs")).write.parquet(f"{root}/deltas")
+        count_deltas(changed_baskets(before, after)).write.parquet(f"{root}/deltas")
         deltas = self._read(_COUNTS, [f"{root}/deltas"])
         moved = deltas.filter("code_b is null").select(F.col("code_a").alias("item"), "n")
         self.items().unionByName(moved).groupBy("item").agg(F.sum("n").alias("n")).filter("n <> 0").write.parquet(f"{root}/items")
-        needed = max(self.least, -(-int(seen.get["pairs"] or 0) // BUCKET_PAIRS))
+        needed = max(self.least, -(-deltas.filter("code_b is not null").count() // BUCKET_PAIRS))
         hit = None
         if not self.files or needed > 4 * self.buckets:  # the table is new or has grown: all buckets anew
             self.buckets = needed
