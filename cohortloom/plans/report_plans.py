@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.functions.spread import settled
 from cohortloom.operators import itemsets as I
 from cohortloom.operators import report as R
 from cohortloom.operators.static import days_between
@@ -413,7 +414,8 @@ def itemset_analysis(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for kind, c, labels, levels in code_levels(spark, d):
         for depth, level in enumerate(levels, 1):
-            tx = I.transactions(c.select("enc", level.alias("item"))).join(labels, "enc")
+            tx = settled(I.transactions(c.select("enc", level.alias("item"))).join(labels, "enc"))  # read several times
             e = I.enrichment(tx, I.maximal(I.frequent(tx, 0.02)), "lab").select(F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), "lab", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
+            e = settled(e)
             out = e if out is None else out.unionByName(e)
     return out
