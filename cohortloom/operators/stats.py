@@ -24,7 +24,8 @@ def rank_sum(df: DataFrame, label: str, value: str, by: list[str] | None = None)
     w = cells.join(ranked, [*by, "v"]).groupBy(*by, label).agg(F.sum(F.col("n") * F.col("rank")).alias("w"), F.sum("n").alias("n_in"))
     total = seen.groupBy(*by).agg(F.count("*").alias("n_all"))
     out = (w.join(total, by) if by else w.crossJoin(F.broadcast(total))).withColumn("n_out", F.col("n_all") - F.col("n_in"))  # one row
-    z = (F.col("w") - F.col("n_in") * (F.col("n_all") + 1) / 2.0) / F.sqrt(F.col("n_in") * F.col("n_out") * (F.col("n_all") + 1) / 12.0)
+    n_in, n_out, n_all = (F.col(c).cast("double") for c in ("n_in", "n_out", "n_all"))  # their product leaves whole numbers at millions of rows
+    z = (F.col("w") - n_in * (n_all + 1) / 2.0) / F.sqrt(n_in * n_out * (n_all + 1) / 12.0)
     return out.select(*by, label, "n_in", "n_out", F.when((F.col("n_in") > 0) & (F.col("n_out") > 0), z).alias("z"))
 
 

@@ -152,6 +152,15 @@ def test_rank_sum(spark):
     assert abs(got.z + 1.959592) < 1e-6 and abs(got.p - 0.050044) < 1e-6
 
 
+def test_rank_sum_of_millions(spark):
+    n = 4_000_000
+    rows = spark.range(n).select(F.expr("cast(id % 4 = 0 as int)").alias("g"), F.expr("case when id % 4 = 0 then 1.0D else id % 2 + 1.0D end").alias("v"))
+    got = X.rank_sum(rows, "g", "v").filter("g = 1").head()
+    # A quarter has the value 1 by itself, a quarter of the others with it: ranks 1 to n / 2, the mean of which all of them have.
+    z = ((n // 4) * (n // 2 + 1) / 2 - (n // 4) * (n + 1) / 2) / ((n // 4) * (n - n // 4) * (n + 1) / 12) ** 0.5
+    assert (got.n_in, got.n_out) == (n // 4, n - n // 4) and abs(got.z / z - 1) < 1e-12
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([(0.5, 0.25), (0.5, 0.25), (0.0, 0.5)], "p double, q double")
     assert abs(df.agg(F.sqrt(F.sum(B.js_distance(F.col("p"), F.col("q"))) / 2).alias("d")).head().d - 0.557923) < 1e-6
