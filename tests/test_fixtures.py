@@ -161,6 +161,23 @@ def test_rank_sum_of_millions(spark):
     assert (got.n_in, got.n_out) == (n // 4, n - n // 4) and abs(got.z / z - 1) < 1e-12
 
 
+def test_rank_sum_p_of_millions(spark, tmp_path):
+    from cohortloom.plans.agreement_plans import rank_sum_p
+
+    n = 4_000_000
+    spark.range(8).selectExpr("id as c_custkey", "cast(id as double) as c_acctbal", "'A' as c_mktsegment", "cast(id % 2 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    # Customers 0 to 7 in turn, but for 1,000 orders that customer 7 has instead of 0.
+    who = "case when id < 8000 and id % 8 = 0 then 7 else id % 8 end"
+    spark.range(n).selectExpr("id as o_orderkey", f"{who} as o_custkey", "timestamp'1998-01-01' as o_orderdate", "1.0D as o_totalprice", "'F' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.lab: r.p_value for r in rank_sum_p(spark, str(tmp_path)).collect()}
+    count = [n // 8 - 1000, *[n // 8] * 6, n // 8 + 1000]
+    rank = [sum(count[:k]) + (count[k] + 1) / 2 for k in range(8)]
+    ins = sum(count[1::2])
+    z = (sum(count[k] * rank[k] for k in (1, 3, 5, 7)) - ins * (n + 1) / 2) / math.sqrt(ins * (n - ins) * (n + 1) / 12)
+    want = math.erfc(abs(z) / math.sqrt(2))
+    assert set(got) == {0, 1} and all(abs(p - want) <= 1e-9 * want for p in got.values())
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([(0.5, 0.25), (0.5, 0.25), (0.0, 0.5)], "p double, q double")
     assert abs(df.agg(F.sqrt(F.sum(B.js_distance(F.col("p"), F.col("q"))) / 2).alias("d")).head().d - 0.557923) < 1e-6
