@@ -413,9 +413,15 @@ def itemset_analysis(spark: SparkSession, d: str) -> DataFrame:
     """Enriched maximal sets of each cluster at every depth of each kind of code, kind and depth as columns."""
     out = None
     for kind, c, labels, levels in code_levels(spark, d):
-        for depth, level in enumerate(levels, 1):
-            tx = settled(I.transactions(c.select("enc", level.alias("item"))).join(labels, "enc"))  # read several times
-            e = I.enrichment(tx, I.maximal(I.frequent(tx, 0.02)), "lab").select(F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), "lab", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
+        names = [f"items{depth}" for depth in range(1, len(levels) + 1)]
+        rows = c.select("enc", *[level.alias(n) for n, level in zip(names, levels)]).repartition("enc")  # before the lists are made, as lists are longer
+        every = settled(rows.groupBy("enc").agg(*[F.collect_set(n).alias(n) for n in names]).join(labels, "enc").select("lab", *names))  # read several times
+        for depth, name in enumerate(names, 1):
+            tx = every.select("lab", F.col(name).alias("items")).filter(F.size("items") > 0)
+            size = spark.createDataFrame(tx.groupBy("lab").agg(F.count("*").alias("size")).collect(), "lab string, size bigint")  # few clusters
+            total = size.agg(F.sum("size").alias("n_all"))
+            inside = settled(I.maximal_inside(tx, total.head().n_all or 0, 0.02, "lab"))
+            e = I.tested(size, total, inside, "lab").select(F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), "lab", I.itemset_text().alias("itemset"), "support", "complement_support", "factor", "p_value", "significant")
             e = settled(e)
             out = e if out is None else out.unionByName(e)
     return out

@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +185,51 @@ def test_options_of_a_part():
     assert (p.limit, p.frozen, p.longest) == (7.5, 9, 3)
     with pytest.raises(ValueError, match="limits"):
         H.options(ChartParams, {"limits": "1"})
+
+
+def dense(spark, seed=4):
+    """300 transactions of up to 9 of 12 items, some unlabelled: rows of (enc, item) and labels, and both by encounter."""
+    r = np.random.default_rng(seed)
+    held = {i: sorted(f"i{x}" for x in r.choice(12, r.integers(1, 10), replace=False)) for i in range(300)}
+    labels = {i: None if i % 11 == 0 else "ab"[i % 2] for i in held}
+    codes = spark.createDataFrame([(i, x) for i, items in held.items() for x in items for _ in range(2)], "enc bigint, code string")
+    return held, labels, codes, spark.createDataFrame(list(labels.items()), "enc bigint, lab string")
+
+
+def brute_maximal(held, support):
+    from itertools import combinations
+
+    least = math.ceil(support * len(held))
+    n = Counter(s for items in held.values() for k in range(1, len(items) + 1) for s in combinations(items, k))
+    sets = {s for s, m in n.items() if m >= least}
+    return sets - {s[:i] + s[i + 1 :] for s in sets for i in range(len(s))}
+
+
+@pytest.mark.parametrize("one_pass,most", [(20_000, 200_000), (1, 200_000), (20_000, 1)])
+def test_maximal_sets_inside_labels(spark, monkeypatch, one_pass, most):
+    """All sizes in one pass, a size in each, and the library's mining beyond the limit: the same counts."""
+    monkeypatch.setattr(I, "PASS", one_pass)
+    monkeypatch.setattr(I, "MOST", most)
+    held, labels, codes, lab = dense(spark)
+    tx = I.transactions(codes.withColumnRenamed("code", "item")).join(lab, "enc")
+    for support in (0.03, 0.2, 0.9):
+        want = {(x, s): m for s in brute_maximal(held, support) for x in (None, "a", "b") if (m := sum(set(s) <= set(held[i]) for i in held if labels[i] == x))}
+        got = [((r.lab, tuple(r.itemset)), r.n) for r in I.maximal_inside(tx, 300, support, "lab").collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_itemset_analysis_counts_without_trees(spark, monkeypatch):
+    """The analysis neither builds trees of all transactions nor shuffles a row for each set that a transaction holds."""
+    import cohortloom.plans.report_plans as Q
+
+    held, labels, codes, lab = dense(spark)
+    monkeypatch.setattr(I, "FPGrowth", None)
+    monkeypatch.setattr(I, "support_counts", None)
+    monkeypatch.setattr(Q, "code_levels", lambda spark, d: [("part", codes, lab.na.drop(), [F.col("code"), F.lit(None).cast("string")])])
+    got = Q.itemset_analysis(spark, "").collect()
+    known = {i: items for i, items in held.items() if labels[i]}
+    sets = brute_maximal(known, 0.02)
+    assert {r.depth for r in got} == {1} and len(got) == 2 * len(sets)
+    share = lambda s, x: sum(set(s) <= set(known[i]) for i in known if labels[i] == x) / sum(labels[i] == x for i in known)
+    want = {(x, s[0] if len(s) == 1 else f"({len(s)}) [{', '.join(s)}]"): share(s, x) for s in sets for x in "ab"}
+    assert {(r.lab, r.itemset): r.support for r in got} == pytest.approx(want)
